@@ -31,7 +31,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_query(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenframe.llm.substring_dedup import substring_query
+
+    return substring_query(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_substring_dedup": op5_substring_dedup,
     "op3_token_files": op3_token_files,
     "op10_packing": op10_packing,
 }
