@@ -37,7 +37,21 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_query(table(spark, sf_dir, "documents"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenframe.llm.language import language_query
+
+    return language_query(table(spark, sf_dir, "documents"))
+
+
+def op8_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenframe.llm.audio import audio_query
+
+    return audio_query(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_audio": op8_audio,
+    "op4_language": op4_language,
     "op5_substring_dedup": op5_substring_dedup,
     "op3_token_files": op3_token_files,
     "op10_packing": op10_packing,
