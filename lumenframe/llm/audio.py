@@ -4,12 +4,12 @@
 column; ``features`` reads such a column back. Samples are resampled by a polyphase filter (a
 windowed-sinc low-pass split into phases, evaluated at the output rate only), cut into overlapped Hann
 frames and turned into log-mel energies. Frame energy with two thresholds (hysteresis) marks segments,
-and each segment becomes one fixed-shape tensor ``time_bins x mels`` of pooled log-mels, quantized to
+and the whole clip, then each segment, becomes one fixed-shape tensor ``time_bins x mels`` of pooled log-mels, quantized to
 sixteenths, with its time span. ``tensor_array`` gives them as Arrow's fixed-shape tensor type and
 ``write_tensors`` stores them in Arrow IPC files.
 
 Nulls and empties: a null payload is empty; padding makes every stored payload at least one unit
-long. A clip shorter than a frame is padded with silence to one frame. Silence has no segments. Every
+long. A clip shorter than a frame is padded with silence to one frame. Silence has the whole clip alone. Every
 row is computed alone in fixed steps, so equal payloads give equal values. Other columns are not carried.
 """
 
@@ -148,9 +148,7 @@ def segment_tensors(samples: bytes, s: Settings) -> tuple[np.ndarray, np.ndarray
     x = (np.frombuffer(samples, np.uint8).astype(np.float64) - 128.0) / 128.0
     x -= x.mean()
     mels, energy = log_mels(resample(x, s), s)
-    found = hysteresis(energy, s)
-    if not found:
-        return np.zeros((0, 2), np.int64), np.zeros((0, s.time_bins, s.mels), np.int16)
+    found = [(0, len(energy)), *hysteresis(energy, s)]
     spans = np.array(found, np.int64)
     cut = spans[:, :1] + (np.arange(s.time_bins) * (spans[:, 1:] - spans[:, :1])) // s.time_bins  # first frame of each bin
     end = np.maximum(cut + 1, np.concatenate([cut[:, 1:], spans[:, 1:]], 1))
