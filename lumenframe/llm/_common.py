@@ -178,13 +178,13 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` and the n+1 word offsets of the texts."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` (or what ``space`` leaves) and the n+1 word offsets of the texts."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     inside = np.zeros(n + 1, bool)
-    np.logical_not(_SPACE[data], out=inside[:n])
+    np.logical_not(space[data], out=inside[:n])
     begin = inside[:n].copy()
     begin[1:] &= ~inside[: n - 1]
     cut = offsets[:-1][offsets[:-1] < n]

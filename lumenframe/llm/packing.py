@@ -165,7 +165,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, *, size: int = 2048, end_id:
     return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(parts: DataFrame, *, size: int = 2048, per_group: int = 20_000) -> DataFrame:
+def pack(parts: DataFrame, *, size: int = 2048, per_group: int = 2_000) -> DataFrame:
     """Add sequence_id and offset to rows that have ``length``; ``parts`` must be a saved table, as it is read thrice.
 
     Pieces of a length are numbered in two levels: within (length, bucket) by a window, and buckets

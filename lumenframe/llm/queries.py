@@ -49,7 +49,14 @@ def op8_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio_query(table(spark, sf_dir, "documents"))
 
 
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenframe.llm.pieces import pieces_query
+
+    return pieces_query(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op9_pieces": op9_pieces,
     "op8_audio": op8_audio,
     "op4_language": op4_language,
     "op5_substring_dedup": op5_substring_dedup,
