@@ -55,7 +55,14 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces_query(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenframe.llm.warc import warc_query
+
+    return warc_query(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_warc": op2_warc,
     "op9_pieces": op9_pieces,
     "op8_audio": op8_audio,
     "op4_language": op4_language,
