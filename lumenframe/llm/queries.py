@@ -61,7 +61,14 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_query(table(spark, sf_dir, "pages"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenframe.llm.minhash import minhash_query
+
+    return minhash_query(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_minhash": op6_minhash,
     "op2_warc": op2_warc,
     "op9_pieces": op9_pieces,
     "op8_audio": op8_audio,
