@@ -67,7 +67,14 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_query(table(spark, sf_dir, "documents"))
 
 
+def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenframe.llm.vectors import vectors_query
+
+    return vectors_query(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_vectors": op1_near_vectors,
     "op6_minhash": op6_minhash,
     "op2_warc": op2_warc,
     "op9_pieces": op9_pieces,
