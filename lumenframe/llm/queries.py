@@ -73,7 +73,14 @@ def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors_query(table(spark, sf_dir, "embeddings"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lumenframe.llm.line_dedup import lines_query
+
+    return lines_query(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_line_dedup": op7_line_dedup,
     "op1_near_vectors": op1_near_vectors,
     "op6_minhash": op6_minhash,
     "op2_warc": op2_warc,
