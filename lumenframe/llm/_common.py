@@ -108,7 +108,7 @@ def shard_ranges(df: DataFrame, key: str, weight: Column, target: int, cells: in
         cell = F.floor((F.col(key).cast("decimal(38,0)") - F.lit(a).cast("decimal(38,0)")) / F.lit(width)).cast("long")
         for c, s in sorted(inside.groupBy(cell.alias("c")).agg(F.sum(w).alias("s")).collect()):
             x, y = a + c * width, min(b, a + c * width + width - 1)
-            if s > 4 * target and y > x:
+            if s > target and y > x:
                 todo.append((x, y))
             else:
                 parts.append((x, y, s or 0.0))

@@ -150,6 +150,7 @@ class Scorer:
         self.codes: dict[str, int] = {}
         self.scores = np.zeros((1 << 12, len(self.model.languages)), np.float32)
         self.letters = np.zeros(1 << 12, np.int32)
+        self.known = np.zeros(1 << 12, np.int32)  # letters of words whose script some language uses
 
     def lookup(self, distinct: list[str]) -> np.ndarray:
         if len(self.codes) > self.max_words:
@@ -161,6 +162,7 @@ class Scorer:
             while first + len(fresh) > len(self.scores):
                 self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
                 self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
+                self.known = np.concatenate([self.known, np.zeros_like(self.known)])
             words, owner = [], []
             for j, i in enumerate(fresh):
                 self.codes[distinct[i]] = found[i] = first + j
@@ -181,6 +183,7 @@ class Scorer:
         s[~known] = 0
         np.add.at(self.scores, owner, s.astype(np.float32))
         np.add.at(self.letters, owner, lens.astype(np.int32))
+        np.add.at(self.known, owner, np.where(known, lens, 0).astype(np.int32))
 
 
 def viterbi(scores: np.ndarray, code: np.ndarray, at: np.ndarray, penalty: float) -> np.ndarray:
@@ -239,7 +242,7 @@ def label_documents(docs: DataFrame, model: Model, *, penalty: float = 8.0, span
                     _, offsets = text_bytes(batch.column("text"))
                     state = viterbi(scorers[0].scores, code, at, penalty)
                     letters = scorers[0].letters[code].astype(np.float64)
-                    informed = letters * (scorers[0].scores[code] != 0).any(1)
+                    informed = scorers[0].known[code].astype(np.float64)
                     doc = np.repeat(np.arange(n), np.diff(at))
                     share = np.bincount(doc * len(langs) + state, informed, minlength=n * len(langs)).reshape(n, -1)
                     total = np.bincount(doc, letters, minlength=n)

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,7 +109,17 @@ def _by_group(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]
 
 
 def _compare_groups(table: pa.Table, key: str, id_col: str, floors: np.ndarray | None, top: int | None) -> pa.RecordBatch:
-    """Within each group, who is closer than a floor, or among the ``top`` closest: (id, nbr, sim). Groups of like size step together."""
+    """Within each group, who is closer than a floor, or among the ``top`` closest: (id, nbr, sim). Groups of like size step together.
+
+    A group's vectors have one length; the groups of a table may differ.
+    """
+    dim = pa.compute.binary_length(table.column("v")).to_numpy()
+    if len(dim) and (dim != dim[0]).any():
+        parts = []
+        for d in np.unique(dim):
+            keep = dim == d
+            parts.append(_compare_groups(table.filter(pa.array(keep)), key, id_col, None if floors is None else floors[keep], top))
+        return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if sum(map(len, parts)) else parts[0]
     k = table.column(key).to_numpy()
     ids = table.column(id_col).to_numpy()
     raw = table.column("v").combine_chunks()
