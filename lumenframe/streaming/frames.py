@@ -61,7 +61,8 @@ def frame_rate(frames: DataFrame, key: str, time: str = "ts", window: float = 1.
             if rate is not None:
                 out.append((k[0], t, rate))
         state.update((float(counter.start), int(counter.count)))
-        yield pd.DataFrame(out, columns=["k", "at", "frames_per_second"])
+        if out:
+            yield pd.DataFrame(out, columns=["k", "at", "frames_per_second"])
 
     keyed = frames.select(F.col(key).alias("k"), F.col(time).cast("timestamp").cast("double").alias("t"))
     kind = keyed.schema["k"].dataType.simpleString()

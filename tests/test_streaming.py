@@ -11,7 +11,7 @@ def test_frame_rate_counter():
 
 
 def test_stream_rate_equals_batch(spark, tmp_path):
-    rows = [(u, float(t) * 0.3 + u * 0.01) for u in range(3) for t in range(20)]
+    rows = [(u, float(t) * 0.375 + u * 0.125) for u in range(3) for t in range(20)]
     df = spark.createDataFrame(rows, "user_id long, s double").selectExpr("user_id", "timestamp_seconds(s) AS ts")
     df.repartition(1).write.parquet(str(tmp_path / "in"))
     live = S.read_frames(spark, str(tmp_path / "in"), "user_id long, ts timestamp")
