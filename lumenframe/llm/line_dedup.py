@@ -30,24 +30,15 @@ from lumenframe.llm._common import saved
 CLASSES = ["e", "t", "a", "n", "i", "o", "h", "r", "s", "d", "l", " ", "uvw", "cmfpg", "0123456789", ".,;:!?"]
 
 
-def within_edits(a: Column, b: Column, edits: int) -> Column:
-    """Whether two strings are within ``edits`` (4 at most) edits: a banded bit-parallel automaton.
+def _automaton(a: Column, b: Column, edits: int) -> Column:
+    """Whether two strings are within ``edits`` edits: a banded bit-parallel automaton.
 
     After j characters of b, bit k of level e says that a's first j+k-edits characters match them with at most e
     errors. A match or substitution keeps the diagonal, an extra character of b moves down one bit and a
-    missing one moves up.
+    missing one moves up. Once no bit is left the remaining characters cost nothing.
     """
-    if not 0 <= edits <= 4:
-        raise ValueError("0 to 4 edits")
     width, full = 2 * edits + 2, (1 << (2 * edits + 1)) - 1
-    letters = F.split(a, "")
-
-    def matches(c: Column, j: Column) -> Column:
-        bits = [F.when(F.get(letters, j + (k - edits)) == c, F.lit(1 << k)).otherwise(F.lit(0)) for k in range(2 * edits + 1)]
-        out = bits[0]
-        for x in bits[1:]:
-            out = out + x
-        return out.cast("long")
+    mine, theirs = F.split(a, ""), F.split(b, "")
 
     def level(state: Column, e: int) -> Column:
         return F.shiftright(state, e * width).bitwiseAND(F.lit(full))
@@ -59,27 +50,70 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
             old = level(state, e - 1)
             new = level(state, e).bitwiseAND(m).bitwiseOR(old).bitwiseOR(F.shiftright(old, 1)).bitwiseOR(F.shiftleft(new, 1)).bitwiseAND(F.lit(full))
             packed = packed.bitwiseOR(F.shiftleft(new, e * width))
-        return F.when(state == 0, state).otherwise(packed)
-
+        return packed
+
+    def matches(c: Column) -> Column:
+        """Bit k: c's character is the one of a on diagonal k; c has the character and a's characters of the band."""
+        out = F.lit(0).cast("long")
+        for k in range(2 * edits + 1):
+            out = out + F.when(F.get(c["near"], F.lit(k)) == c["c"], F.lit(1 << k)).otherwise(F.lit(0))
+        return out
+
+    # a's characters with ``edits`` empty ones before and 2*edits behind, so that a band is a slice; texts hold no empty ones
+    padded = F.concat(F.array_repeat(F.lit(""), edits), mine, F.array_repeat(F.lit(""), 2 * edits + 1))
+    bands = F.transform(theirs, lambda c, j: F.struct(c.alias("c"), j.alias("j")))
     start = sum((((1 << (e + 1)) - 1) << edits & full) << (e * width) for e in range(edits + 1))
-    masks = F.transform(F.split(b, ""), matches)
-    last = F.when(F.length(b) == 0, F.lit(start).cast("long")).otherwise(F.aggregate(masks, F.lit(start).cast("long"), step))
+    zero = F.struct(F.lit(start).cast("long").alias("state"), padded.alias("a"))
+
+    def advance(acc: Column, x: Column) -> Column:
+        seen = F.struct(x["c"].alias("c"), F.slice(acc["a"], x["j"] + 1, F.lit(2 * edits + 1)).alias("near"))
+        new = F.get(F.transform(F.array(matches(seen)), lambda m: step(acc["state"], m)), F.lit(0))
+        return F.struct(F.when(acc["state"] == 0, acc["state"]).otherwise(new).alias("state"), acc["a"].alias("a"))
+
+    last = F.when(F.length(b) == 0, F.lit(start).cast("long")).otherwise(F.aggregate(bands, zero, advance, lambda acc: acc["state"]))
     gap = F.length(a) - F.length(b)
     bit = F.shiftright(last, edits * width).bitwiseAND(F.expr("1L") * F.pow(F.lit(2), gap + edits).cast("long"))
     return (F.abs(gap) <= edits) & (bit != 0)
 
 
+def within_edits(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
+    """``pairs`` with _lf_within: whether two string columns are within ``edits`` (4 at most) edits.
+
+    What both begin and end with is cut first, which leaves the distance as it is; the automaton runs over the rest.
+    """
+    if not 0 <= edits <= 4:
+        raise ValueError("0 to 4 edits")
+
+    def common(x: str, y: str) -> Column:
+        """Characters that both begin with."""
+        same = F.zip_with(F.split(x, ""), F.split(y, ""), lambda p, q: F.coalesce(p == q, F.lit(False)))
+        first = F.array_position(same, False)
+        return F.when((F.length(x) == 0) | (F.length(y) == 0), F.lit(0)).when(first == 0, F.least(F.length(x), F.length(y))).otherwise(first - 1).cast("int")
+
+    out = pairs.withColumn("_lf_p", common(a, b))
+    out = out.withColumns({f"_lf_{c}": F.substring(F.col(c), F.col("_lf_p") + 1, F.length(c)) for c in (a, b)})
+    out = out.withColumns({f"_lf_r{c}": F.reverse(F.col(f"_lf_{c}")) for c in (a, b)})
+    out = out.withColumn("_lf_s", common(f"_lf_r{a}", f"_lf_r{b}"))
+    out = out.withColumns({f"_lf_{c}": F.substring(F.col(f"_lf_{c}"), F.lit(1), F.length(f"_lf_{c}") - F.col("_lf_s")) for c in (a, b)})
+    out = out.withColumn("_lf_within", _automaton(F.col(f"_lf_{a}"), F.col(f"_lf_{b}"), edits))
+    return out.drop("_lf_p", "_lf_s", f"_lf_{a}", f"_lf_{b}", f"_lf_r{a}", f"_lf_r{b}")
+
+
 def _segment(n: Column, i: int, parts: int) -> Column:
     return F.floor(n * i / parts).cast("int")
 
 
 def segment_keys(line: Column, n: Column, edits: int) -> Column:
-    """array<struct<key long, own boolean>>: the line's own segments and its probes into lengths down to n - edits."""
+    """array<struct<key long, own boolean>>: the line's own segments and its probes into lengths down to n - edits.
+
+    A probe that would reach over the line's end has a NULL key.
+    """
     parts = edits + 1
     out = []
 
     def key(length: Column, i: int, start: Column, size: Column, own: bool) -> Column:
-        return F.struct(F.xxhash64(length, F.lit(i), F.substring(line, start + 1, size)).alias("key"), F.lit(own).alias("own"))
+        hashed = F.xxhash64(length, F.lit(i), F.substring(line, start + 1, size))
+        return F.struct((hashed if own else F.when((start >= 0) & (start + size <= n), hashed)).alias("key"), F.lit(own).alias("own"))
 
     for i in range(parts):
         at = _segment(n, i, parts)
@@ -91,8 +125,8 @@ def segment_keys(line: Column, n: Column, edits: int) -> Column:
             size = _segment(length, i + 1, parts) - at
             for move in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
                 if shorter or move:
-                    out.append(F.when((at + move >= 0) & (at + move + size <= n), key(length, i, at + move, size, False)))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+                    out.append(key(length, i, at + move, size, False))
+    return F.array(*out)
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -108,6 +142,7 @@ def _near(df: DataFrame, small: DataFrame, on: str, rows: int, most: int = 1_000
 
 def removed_lines(docs: DataFrame, *, max_edits: int = 2, min_chars: int = 24) -> DataFrame:
     """(doc_id, th, no) of the lines that go; ``docs`` has doc_id, text and th."""
+    spark = docs.sparkSession
     lines = _lines(docs, min_chars)
     place = F.struct("doc_id", "th", "no")
     narrow = lines.select("h1", F.xxhash64(F.lit(1), "line").alias("h2"), "doc_id", "th", "no")
@@ -115,12 +150,14 @@ def removed_lines(docs: DataFrame, *, max_edits: int = 2, min_chars: int = 24) -
     exact = narrow.join(firsts, ["h1", "h2"]).where(place != F.col("first")).select("doc_id", "th", "no")
     if not max_edits:
         return exact.distinct()
-    keyed = lines.select("h1", "n", "line", F.explode(segment_keys(F.col("line"), F.col("n"), max_edits)).alias("k"))
-    shared = keyed.groupBy(F.col("k.key").alias("key")).agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.max("k.own").alias("own")).where("lo != hi AND own").select("key")
+    keyed = lines.select("h1", F.explode(segment_keys(F.col("line"), F.col("n"), max_edits)).alias("k")).select("h1", "k.key", "k.own").where("key IS NOT NULL")
+    shared = keyed.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.max("own").alias("own")).where("lo != hi AND own").select("key")
     shared = saved(shared, "shared-keys")
+    in_buckets = saved(_near(keyed, shared, "key", shared.count()).distinct(), "buckets")
+    some = saved(in_buckets.select("h1").distinct(), "bucket-lines")
     counts = [(F.col("n") - F.length(F.translate("line", c, ""))).alias(f"c{i}") for i, c in enumerate(CLASSES)]
-    members = _near(keyed.select("h1", "n", "line", F.col("k.key").alias("key"), F.col("k.own").alias("own")), shared, "key", shared.count())
-    members = saved(members.select("key", "own", "h1", "n", *counts).groupBy("key", "own", "h1").agg(*(F.first(c).alias(c) for c in ["n", *(f"c{i}" for i in range(len(CLASSES)))])), "members")
+    features = _near(lines.select("h1", "n", "line"), some, "h1", some.count()).select("h1", "n", *counts).distinct()
+    members = saved(in_buckets.join(features, "h1"), "members")
     x, y = members.where("own").alias("x"), members.alias("y")
     more = sum((F.greatest(F.col(f"x.c{i}") - F.col(f"y.c{i}"), F.lit(0)) for i in range(len(CLASSES))), F.lit(0))
     less = sum((F.greatest(F.col(f"y.c{i}") - F.col(f"x.c{i}"), F.lit(0)) for i in range(len(CLASSES))), F.lit(0))
@@ -131,7 +168,8 @@ def removed_lines(docs: DataFrame, *, max_edits: int = 2, min_chars: int = 24) -
     texts = _near(lines.select("h1", "line"), wanted, "h1", wanted.count()).groupBy("h1", F.xxhash64(F.lit(1), "line").alias("h2")).agg(F.first("line").alias("line"))
     texts = saved(texts.join(firsts, ["h1", "h2"]).select("h1", "line", "first"), "line-texts")
     a, b = texts.select(F.col("h1").alias("a"), F.col("line").alias("la"), F.col("first").alias("fa")), texts.select(F.col("h1").alias("b"), F.col("line").alias("lb"), F.col("first").alias("fb"))
-    close = pairs.join(a, "a").join(b, "b").where(within_edits(F.col("la"), F.col("lb"), max_edits))
+    both = pairs.join(a, "a").join(b, "b").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a", "b")
+    close = within_edits(both, "la", "lb", max_edits).where("_lf_within")
     later = close.select(F.greatest("fa", "fb").alias("p")).distinct().select("p.doc_id", "p.th", "p.no")
     return exact.unionByName(later).distinct()
 
@@ -145,8 +183,8 @@ def dedup_lines(docs: DataFrame, *, max_edits: int = 2, min_chars: int = 24) ->
     keyed = docs.withColumn("_lf_th", th)
     out = keyed.join(gone, (F.col("_lf_th") == F.col("_lf_of")) & F.col("doc_id").eqNullSafe(F.col("_lf_id")), "left")
     lines = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_lf_gone"))
-    cut = F.when(F.col("_lf_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    kept = F.filter(lines, lambda _, i: ~F.array_contains(F.col("_lf_gone"), i))
+    cut = F.when(F.col("_lf_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return (
         out.withColumn("_lf_n_lines", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"))
         .withColumn("_lf_n_removed", F.coalesce(F.size("_lf_gone"), F.lit(0)).cast("long"))

@@ -168,7 +168,7 @@ def test_bit_parallel_distance(spark):
         pairs.append((a, edited(rnd, a, 4)))
     df = spark.createDataFrame(pairs, "a string, b string")
     for k in range(5):
-        got = df.select("a", "b", line_dedup.within_edits(F.col("a"), F.col("b"), k).alias("w")).collect()
+        got = line_dedup.within_edits(df, "a", "b", k).withColumnRenamed("_lf_within", "w").collect()
         assert all(r.w == (distance(r.a, r.b) <= k) for r in got)
 
 
