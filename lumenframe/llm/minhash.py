@@ -191,8 +191,13 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, size: int = SHIN
         if k:
             old = tested.select("a", "hub").union(tested.select("hub", "a"))
             fresh = fresh.join(old, ["a", "hub"], "left_anti")
-        found = saved(verify(saved(fresh, "pairs"), texts, size=size), "verified")
+        fresh = saved(fresh, "pairs")
+        if k and fresh.isEmpty():
+            continue
+        found = saved(verify(fresh, texts, size=size), "verified")
         tested = tested.unionByName(found) if k else found
+        if k and found.where(F.col("sim") >= threshold).isEmpty():
+            continue  # nothing new is linked
         labels = saved(connected(tested.where(F.col("sim") >= threshold).select("a", F.col("hub").alias("b"))), "labels")
     return labels
 
