@@ -159,7 +159,6 @@ def verify(pairs: DataFrame, texts: DataFrame, *, size: int = SHINGLE, per_group
 
 def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, size: int = SHINGLE, m: int = COMPONENTS, rows: int = ROWS, hub_rounds: int = 2) -> DataFrame:
     """(node, component) of the texts that have a near-duplicate; ``docs`` has doc_id, text and node."""
-    spark = docs.sparkSession
     bands = saved(band_table(docs, size=size, m=m, rows=rows), "bands")
     each = bands.select(F.explode("bands").alias("key"), "node", "s0", "s1")
     shared = each.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("key")
@@ -169,14 +168,20 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, size: int = SHIN
     first = docs.groupBy("node").agg(F.min("doc_id").alias("rep")).join(wanted, "node").select(F.col("node").alias("of"), "rep")
     own = docs.join(first, (F.col("node") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("rep")))
     texts = saved(own.dropDuplicates(["node", "doc_id"]).select("node", "text"), "texts")
-    tested = spark.createDataFrame([], "a binary, hub binary, sim double")
-    labels = None
+    tested: DataFrame | None = None
+    labels: DataFrame | None = None
     least = _least_agreement(threshold, m)
     for k in range(hub_rounds + 1):
-        now = members if labels is None else members.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-        if labels is None:
-            now = now.withColumn("label", F.col("node"))
+        if tested is None:
+            now = members.withColumn("label", F.col("node"))
         else:
+            linked = tested.where(F.col("sim") >= threshold).select("a", F.col("hub").alias("b"))
+            if k < hub_rounds:  # sharing a hub is enough to be skipped in the next round
+                stars = linked.select(F.col("a").alias("node"), F.col("b").alias("component")).union(linked.select("b", "b")).groupBy("node").agg(F.min("component").alias("component"))
+                labels = saved(stars, "stars")
+            else:
+                labels = saved(connected(linked), "labels")
+            now = members.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
             apart = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
             now = now.join(apart, "key")
         if k < hub_rounds:
@@ -188,17 +193,15 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, size: int = SHIN
             agree = m - F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))) - F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1")))
             pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & (agree >= least)).select(F.col("x.node").alias("a"), F.col("y.node").alias("hub"))
         fresh = pairs.distinct()
-        if k:
-            old = tested.select("a", "hub").union(tested.select("hub", "a"))
-            fresh = fresh.join(old, ["a", "hub"], "left_anti")
+        if tested is not None:
+            fresh = fresh.join(tested.select("a", "hub").union(tested.select("hub", "a")), ["a", "hub"], "left_anti")
         fresh = saved(fresh, "pairs")
-        if k and fresh.isEmpty():
+        if tested is not None and fresh.isEmpty():
             continue
         found = saved(verify(fresh, texts, size=size), "verified")
-        tested = tested.unionByName(found) if k else found
-        if k and found.where(F.col("sim") >= threshold).isEmpty():
-            continue  # nothing new is linked
-        labels = saved(connected(tested.where(F.col("sim") >= threshold).select("a", F.col("hub").alias("b"))), "labels")
+        tested = found if tested is None else tested.unionByName(found)
+        if k == hub_rounds and not found.where(F.col("sim") >= threshold).isEmpty():
+            labels = saved(connected(tested.where(F.col("sim") >= threshold).select("a", F.col("hub").alias("b"))), "labels")
     return labels
 
 
