@@ -50,6 +50,8 @@ class Vocabulary:
     longest: int
     unknown: float
     breaks: list[int]  # bytes of white space that no piece holds behind another character
+    pairs: set[str]  # characters that stand side by side in a piece
+    table: dict[str, tuple[int, float]]  # pieces with id and score, and their beginnings with -1
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -67,31 +69,40 @@ class Vocabulary:
         texts = [bytes([int(names[i][3:5], 16)]) if sp.is_byte(i) else b"" if special[i] else names[i].replace(MARK, " ").encode() for i in range(n)]
         held = {c for p in ids if len(p) > 1 for c in p.lstrip(MARK)}
         breaks = [b for b in (9, 10, 11, 12, 13, 32) if (MARK if b == 32 else chr(b)) not in held]
-        return cls(ids, scores, byte_ids, texts, max(map(len, ids)), min(scores[i] for i in ids.values()) - 10.0, breaks)
+        return cls(ids, scores, byte_ids, texts, max(map(len, ids)), min(scores[i] for i in ids.values()) - 10.0, breaks, {p[i : i + 2] for p in ids for i in range(len(p) - 1)}, {**{p[:j]: (-1, 0.0) for p in ids for j in range(1, len(p))}, **{p: (i, scores[i]) for p, i in ids.items()}})
 
 
 def lattice(text: str, v: Vocabulary) -> tuple[list[list[tuple[int, int, float]]], list[float], list[tuple]]:
     """Edges by their end (start, id or -1 for byte pieces, score), the best score to every position, and the edge it came by."""
-    size, ids, scores, longest = len(text), v.ids, v.scores, v.longest
+    size, table = len(text), v.table
     alpha = [-1e300] * (size + 1)
     alpha[0] = 0.0
     by: list[tuple] = [()] * (size + 1)
     into: list[list[tuple[int, int, float]]] = [[] for _ in range(size + 1)]
     for i in range(size):
         base = alpha[i]
-        for j in range(i + 1, min(size, i + longest) + 1):
-            k = ids.get(text[i:j])
-            if k is None:
-                if j > i + 1:
-                    continue
-                k, s = -1, v.unknown
-            else:
-                s = scores[k]
+        j = i
+        while j < size:
+            j += 1
+            found = table.get(text[i:j])
+            if found is None:  # no piece, and none goes on from here
+                break
+            k, s = found
+            if k < 0:
+                if j == i + 1:
+                    into[j].append((i, -1, v.unknown))
+                    if base + v.unknown > alpha[j]:
+                        alpha[j], by[j] = base + v.unknown, (i, -1, v.unknown)
+                continue
             edge = (i, k, s)
             into[j].append(edge)
-            if base + s > alpha[j]:
-                alpha[j] = base + s
-                by[j] = edge
+            s += base
+            if s > alpha[j]:
+                alpha[j], by[j] = s, edge
+        if found is None and j == i + 1:
+            into[j].append((i, -1, v.unknown))
+            if base + v.unknown > alpha[j]:
+                alpha[j], by[j] = base + v.unknown, (i, -1, v.unknown)
     return into, alpha, by
 
 
@@ -116,15 +127,19 @@ def best_and_gap(text: str, v: Vocabulary) -> tuple[float, list[int], float]:
     into, alpha, by = lattice(text, v)
     size = len(text)
     beta = [-1e300] * size + [0.0]
+    path = best_path(by, size)
+    on = {(i, j) for i, j, _ in path}
+    second = -1e300
     for j in range(size, 0, -1):
         ahead = beta[j]
         for i, _, s in into[j]:
-            if s + ahead > beta[i]:
-                beta[i] = s + ahead
-    path = best_path(by, size)
-    on = {(i, j, k) for i, j, k in path}
-    second = max((alpha[i] + s + beta[j] for j in range(1, size + 1) for i, k, s in into[j] if (i, j, k) not in on), default=-np.inf)
-    return alpha[size], _ids(path, text, v), max(0.0, alpha[size] - second)
+            s += ahead
+            if s > beta[i]:
+                beta[i] = s
+            s += alpha[i]
+            if s > second and (i, j) not in on:  # no two edges join the same two positions
+                second = s
+    return alpha[size], _ids(path, text, v), max(0.0, alpha[size] - second) if second > -1e299 else np.inf
 
 
 def n_best(text: str, v: Vocabulary, n: int) -> list[tuple[float, list[int]]]:
@@ -157,7 +172,7 @@ def n_best(text: str, v: Vocabulary, n: int) -> list[tuple[float, list[int]]]:
 class Segmenter:
     """Chunks met so far: ids and score of the best path, and what the second best costs more; bounded by ``max_chunks``."""
 
-    def __init__(self, v: Vocabulary, n: int, max_chunks: int = 600_000):
+    def __init__(self, v: Vocabulary, n: int, max_chunks: int = 1_500_000):
         self.v, self.n, self.max_chunks = v, n, max_chunks
         lens = np.array([len(t) for t in v.texts], np.int64)
         self.text_data, self.text_lens, self.text_at = np.frombuffer(b"".join(v.texts), np.uint8), lens, np.cumsum(lens) - lens
@@ -175,16 +190,29 @@ class Segmenter:
         gc.disable()
         try:
             for text in fresh:
-                score, ids, gap = best_and_gap(text, self.v)
-                self.codes[text] = len(self.ends)
-                self.flat.extend(ids)
-                self.ends.append(len(self.flat))
-                self.scores.append(score)
-                self.costs.append(gap)
+                if text not in self.codes:
+                    self._learn_one(text)
         finally:
             if collecting:
                 gc.enable()
 
+    def _learn_one(self, text: str) -> int:
+        """Code of a new chunk; where no piece joins its last two characters, the last one stands alone."""
+        codes, ends, flat = self.codes, self.ends, self.flat
+        if 2 < len(text) <= 40 and text[-2:] not in self.v.pairs:
+            parts = [codes[t] if t in codes else self._learn_one(t) for t in (text[:-1], text[-1])]
+            for c in parts:
+                flat.extend(flat[ends[c - 1] if c else 0 : ends[c]])
+            score, gap = self.scores[parts[0]] + self.scores[parts[1]], min(self.costs[parts[0]], self.costs[parts[1]])
+        else:
+            score, ids, gap = best_and_gap(text, self.v)
+            flat.extend(ids)
+        codes[text] = len(ends)
+        ends.append(len(flat))
+        self.scores.append(score)
+        self.costs.append(gap)
+        return codes[text]
+
     def chunks(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Distinct marked chunks, the code of each chunk of the batch, and chunk offsets by text."""
         data, offsets = text_bytes(column)
