@@ -100,24 +100,35 @@ def within_edits(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
 
 
 def _segment(n: Column, i: int, parts: int) -> Column:
-    return F.floor(n * i / parts).cast("int")
+    """Start of the i-th of ``parts`` segments of n characters."""
+    return F.floor(n * i / parts).cast("int") if i not in (0, parts) else (n if i else F.lit(0))
 
 
-def segment_keys(line: Column, n: Column, edits: int) -> Column:
-    """array<struct<key long, own boolean>>: the line's own segments and its probes into lengths down to n - edits.
+def segment_windows(line: Column, n: Column, edits: int) -> list[Column]:
+    """For each segment, the stretch of the line that holds it and all its probes, so that keys are cut from short strings."""
+    parts = edits + 1
+    out = []
+    for i in range(parts):
+        low = F.greatest(_segment(n, i, parts) - 2 * edits, F.lit(0))
+        out.append(F.substring(line, low + 1, _segment(n, i + 1, parts) + edits - low).alias(f"w{i}"))
+    return out
 
-    A probe that would reach over the line's end has a NULL key.
+
+def segment_keys(n: Column, edits: int) -> Column:
+    """array<long>, from columns w0.. : first the keys of the line's own edits + 1 segments, then its probes into lengths down to n - edits.
+
+    A probe that would reach over the line's end is NULL.
     """
     parts = edits + 1
-    out = []
+    own, probes = [], []
 
-    def key(length: Column, i: int, start: Column, size: Column, own: bool) -> Column:
-        hashed = F.xxhash64(length, F.lit(i), F.substring(line, start + 1, size))
-        return F.struct((hashed if own else F.when((start >= 0) & (start + size <= n), hashed)).alias("key"), F.lit(own).alias("own"))
+    def key(length: Column, i: int, start: Column, size: Column) -> Column:
+        low = F.greatest(_segment(n, i, parts) - 2 * edits, F.lit(0))
+        return F.xxhash64(length, F.lit(i), F.substring(F.col(f"w{i}"), start - low + 1, size))
 
     for i in range(parts):
         at = _segment(n, i, parts)
-        out.append(key(n, i, at, _segment(n, i + 1, parts) - at, True))
+        own.append(key(n, i, at, _segment(n, i + 1, parts) - at))
     for shorter in range(parts):
         length = n - shorter
         for i in range(parts):
@@ -125,8 +136,9 @@ def segment_keys(line: Column, n: Column, edits: int) -> Column:
             size = _segment(length, i + 1, parts) - at
             for move in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
                 if shorter or move:
-                    out.append(key(length, i, at + move, size, False))
-    return F.array(*out)
+                    start = at + move
+                    probes.append(F.when((start >= 0) & (start + size <= n), key(length, i, start, size)))
+    return F.array(*own, *probes)
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -150,7 +162,10 @@ def removed_lines(docs: DataFrame, *, max_edits: int = 2, min_chars: int = 24) -
     exact = narrow.join(firsts, ["h1", "h2"]).where(place != F.col("first")).select("doc_id", "th", "no")
     if not max_edits:
         return exact.distinct()
-    keyed = lines.select("h1", F.explode(segment_keys(F.col("line"), F.col("n"), max_edits)).alias("k")).select("h1", "k.key", "k.own").where("key IS NOT NULL")
+    cut = lines.select("h1", "n", *segment_windows(F.col("line"), F.col("n"), max_edits)).select("h1", segment_keys(F.col("n"), max_edits).alias("keys"))
+    # the array is a column of its own first: exploding the expression would evaluate it anew for every element
+    keyed = cut.select("h1", F.posexplode_outer("keys").alias("at", "key")).where("key IS NOT NULL")
+    keyed = keyed.select("h1", "key", (F.col("at") <= max_edits).alias("own"))
     shared = keyed.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.max("own").alias("own")).where("lo != hi AND own").select("key")
     shared = saved(shared, "shared-keys")
     in_buckets = saved(_near(keyed, shared, "key", shared.count()).distinct(), "buckets")
