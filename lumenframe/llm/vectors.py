@@ -7,8 +7,9 @@ change. List entries at the threshold are verified in double precision and becom
 
 A list whose ``k`` entries all are links is saturated: it may hide more. Saturated nodes of one component get
 their lists enlarged to all of that component's saturated nodes, compared in blocks of bounded size that give
-back counts and no pairs. A pair that is missing from lists can only be one between two
-saturated nodes, or one that the search missed; the latter is audited: a bounded set of nodes is compared
+back counts and no pairs. Blocks of different components are compared in the same way wherever their centres and
+radii allow a link, and components that turn out to be linked become one. A pair that is missing from lists can only be
+one between two saturated nodes, or one that the search missed; the latter is audited: a bounded set of nodes is compared
 with all others, and if fewer than ``recall`` of their links were found, the search goes on from more tables.
 
 Reverse neighbours used in the joins are the closest ``2 k`` of a node; this bounds the search alone, never the links.
@@ -215,10 +216,15 @@ def exact_links(lists: DataFrame, nodes: DataFrame, threshold: float) -> DataFra
     return both.mapInArrow(run, "a long, b long")
 
 
+def in_blocks(dense: DataFrame, block: int) -> DataFrame:
+    """Saturated nodes with their component's number of blocks and their own, b."""
+    sizes = dense.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    return dense.join(sizes, "component").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+
+
 def block_counts(dense: DataFrame, threshold: float, block: int = 256) -> DataFrame:
     """(id, linked): how many rows a saturated node links with among its component's other saturated nodes (component, id, v, mult)."""
-    sizes = dense.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    mine = dense.join(sizes, "component").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    mine = in_blocks(dense, block)
     spread = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("component", F.least("b", "other").alias("i"), F.greatest("b", "other").alias("j"), "b", "id", "v", "mult")
 
@@ -236,6 +242,66 @@ def block_counts(dense: DataFrame, threshold: float, block: int = 256) -> DataFr
     return spread.groupBy("component", "i", "j").applyInArrow(run, "id long, linked long").groupBy("id").agg(F.sum("linked").alias("linked"))
 
 
+def close_blocks(mine: DataFrame, threshold: float, group: int = 8192) -> DataFrame:
+    """Pairs of blocks (c1, b1, c2, b2) of different components, c1 < c2, that can hold a link.
+
+    A block's vectors lie within an angle of its centre; two blocks are apart if their centres' angle, less both of these, is over the
+    threshold's. Blocks are dealt into groups of bounded size, and groups are compared in pairs.
+    """
+
+    def ball(t: pa.Table) -> pa.Table:
+        x = _matrix(pa.concat_arrays(t.column("v").chunks), np.float64)
+        c = x.sum(0)
+        size = np.sqrt((c * c).sum())
+        c = c / size if size else x[0]
+        angle = float(np.arccos(np.clip(x @ c, -1.0, 1.0)).max())
+        return pa.table({"component": t.column("component")[:1], "b": t.column("b")[:1], "v": pa.array([c.tobytes()], pa.binary()), "angle": [angle]})
+
+    balls = saved(mine.select("component", "b", "v").groupBy("component", "b").applyInArrow(ball, "component long, b int, v binary, angle double"), "balls")
+    groups = -(-balls.count() // group)
+    dealt = balls.withColumn("g", F.pmod(F.xxhash64("component", "b"), F.lit(max(1, groups))).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(max(0, groups - 1)))))
+    dealt = dealt.select(F.least("g", "other").alias("i"), F.greatest("g", "other").alias("j"), F.octet_length("v").alias("dim"), "g", "component", "b", "v", "angle")
+    limit = float(np.arccos(threshold)) + 1e-6
+
+    def run(t: pa.Table) -> pa.Table:
+        x = _matrix(pa.concat_arrays(t.column("v").chunks), np.float64)
+        g, comp, b, angle = (t.column(c).to_numpy() for c in ("g", "component", "b", "angle"))
+        left, right = np.flatnonzero(g == t.column("i")[0].as_py()), np.flatnonzero(g == t.column("j")[0].as_py())
+        found = []
+        for at in range(0, len(left), 512):
+            some = left[at : at + 512]
+            apart = np.arccos(np.clip(x[some] @ x[right].T, -1.0, 1.0)) - angle[some][:, None] - angle[right][None, :]
+            p, q = np.nonzero((apart <= limit) & (comp[some][:, None] != comp[right][None, :]))
+            p, q = some[p], right[q]
+            swap = comp[p] > comp[q]
+            found.append((np.where(swap, q, p), np.where(swap, p, q)))
+        p, q = (np.concatenate(f) for f in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return pa.table({"c1": comp[p], "b1": b[p], "c2": comp[q], "b2": b[q]})
+
+    return dealt.groupBy("dim", "i", "j").applyInArrow(run, "c1 long, b1 int, c2 long, b2 int").distinct()
+
+
+def cross_counts(dense: DataFrame, threshold: float, block: int = 256) -> DataFrame:
+    """(id, linked, component, other): how many rows a saturated node links with among the saturated nodes of another component."""
+    mine = saved(in_blocks(dense, block), "blocks")
+    pairs = saved(close_blocks(mine, threshold), "block-pairs")
+    one = pairs.join(mine.withColumnsRenamed({"component": "c1", "b": "b1"}), ["c1", "b1"]).withColumn("first", F.lit(True))
+    two = pairs.join(mine.withColumnsRenamed({"component": "c2", "b": "b2"}), ["c2", "b2"]).withColumn("first", F.lit(False))
+    names = ["c1", "b1", "c2", "b2", "first", "id", "v", "mult"]
+
+    def run(t: pa.Table) -> pa.Table:
+        x = _matrix(pa.concat_arrays(t.column("v").chunks), np.float64)
+        first, ids, mult = t.column("first").to_numpy(), t.column("id").to_numpy(), t.column("mult").to_numpy()
+        c1, c2 = t.column("c1")[0].as_py(), t.column("c2")[0].as_py()
+        left, right = np.flatnonzero(first), np.flatnonzero(~first)
+        near = x[left] @ x[right].T >= threshold
+        linked = np.concatenate([near @ mult[right], near.T @ mult[left]]).astype(np.int64)
+        mine, other = np.repeat([c1, c2], [len(left), len(right)]), np.repeat([c2, c1], [len(left), len(right)])
+        return pa.table({"id": ids[np.concatenate([left, right])], "linked": linked, "component": mine, "other": other}).filter(pa.array(linked > 0))
+
+    return one.select(*names).unionByName(two.select(*names)).groupBy("c1", "b1", "c2", "b2").applyInArrow(run, "id long, linked long, component long, other long")
+
+
 def near_vectors(rows: DataFrame, *, threshold: float = 0.9, k: int = 10, tables: int = 12, rounds: int = 3, audit: int = 1024, recall: float = 0.98, more: int = 2, settled: float = 0.002) -> DataFrame:
     """(vec_id, n_links, component_id) for every row."""
     spark = rows.sparkSession
@@ -267,7 +333,7 @@ def near_vectors(rows: DataFrame, *, threshold: float = 0.9, k: int = 10, tables
 
 
 def _degrees(lists: DataFrame, nodes: DataFrame, k: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Links, component labels and (id, links) from the lists, saturated ones enlarged to their component."""
+    """Links, component labels and (id, links) from the lists, saturated ones enlarged to all saturated nodes."""
     links = saved(exact_links(lists, nodes, threshold), "links")
     labels = saved(components(links), "labels")
     ends = links.select(F.col("a").alias("id"), F.col("b").alias("nbr")).unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("nbr")))
@@ -276,7 +342,12 @@ def _degrees(lists: DataFrame, nodes: DataFrame, k: int, threshold: float) -> tu
     marks = dense.select(F.col("id").alias("m"), F.lit(True).alias("full"))
     sides = ends.join(nodes.select(F.col("id").alias("nbr"), "mult"), "nbr").join(marks.withColumnRenamed("m", "id").withColumnRenamed("full", "f1"), "id", "left").join(marks.withColumnRenamed("m", "nbr").withColumnRenamed("full", "f2"), "nbr", "left")
     listed = sides.where("f1 IS NULL OR f2 IS NULL").groupBy("id").agg(F.sum("mult").alias("linked"))
-    degree = listed.unionByName(block_counts(dense, threshold)).groupBy("id").agg(F.sum("linked").alias("links"))
+    cross = saved(cross_counts(dense, threshold), "cross")
+    if not cross.isEmpty():
+        merged = components(cross.select(F.col("component").alias("a"), F.col("other").alias("b")).distinct())
+        merged = merged.select(F.col("node").alias("component"), F.col("component").alias("whole"))
+        labels = saved(labels.join(merged, "component", "left").select("node", F.coalesce("whole", "component").alias("component")), "labels")
+    degree = listed.unionByName(block_counts(dense, threshold)).unionByName(cross.select("id", "linked")).groupBy("id").agg(F.sum("linked").alias("links"))
     return links, labels, saved(degree, "degrees")
 
 

@@ -77,6 +77,28 @@ def test_near_vectors(spark):
     assert vectors.vectors_query(df.limit(0)).count() == 0
 
 
+def two_dense_groups(rng, cosine, n=60, dim=64):
+    """Two groups with inner cosines about 0.98 whose members all are closer to their own group than to the other."""
+    a, b = np.linalg.qr(rng.normal(size=(dim, 2)))[0].T
+    b = cosine * a + np.sqrt(1 - cosine * cosine) * b
+    return np.concatenate([c + rng.normal(size=(n, dim)) * 0.143 / np.sqrt(dim) for c in (a, b)])
+
+
+@pytest.mark.parametrize("cosine", [0.92, 0.94])
+def test_near_vectors_links_between_dense_groups(spark, cosine):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([two_dense_groups(rng, cosine), rng.normal(size=(50, 64))])
+    m = x / np.linalg.norm(x, axis=1)[:, None]
+    near = m @ m.T >= 0.9
+    np.fill_diagonal(near, False)
+    of = union(np.argwhere(near).tolist(), len(x))
+    top = np.argsort(-(m[:120] @ m[:120].T - 2 * np.eye(120)), axis=1)[:, :10]
+    assert near[:60, 60:120].sum() > 1000 and (top // 60 == np.arange(120)[:, None] // 60).all()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = {r.vec_id: r for r in vectors.vectors_query(df).collect()}
+    assert [(got[i].n_links, got[i].component_id, got[i].kept) for i in range(len(x))] == [(int(near[i].sum()), of[i], of[i] == i) for i in range(len(x))]
+
+
 def plain_jp(x, y):
     return sum(1 / sum(max(x.get(j, 0) / x[i], y.get(j, 0) / y[i]) for j in set(x) | set(y)) for i in set(x) & set(y))
 
