@@ -9,8 +9,10 @@ A list whose ``k`` entries all are links is saturated: it may hide more. Saturat
 their lists enlarged to all of that component's saturated nodes, compared in blocks of bounded size that give
 back counts and no pairs. Blocks of different components are compared in the same way wherever their centres and
 radii allow a link, and components that turn out to be linked become one. A pair that is missing from lists can only be
-one between two saturated nodes, or one that the search missed; the latter is audited: a bounded set of nodes is compared
-with all others, and if fewer than ``recall`` of their links were found, the search goes on from more tables.
+one between two saturated nodes, or one that the search missed; the latter is audited: a bounded set of nodes that are not
+saturated is compared with all others, and if on average fewer than ``recall`` of such a node's links were found, the search
+goes on from more tables, ``more`` times at most. If that is not enough, it raises. The number of tables grows with the number of bits, so
+that a pair at the threshold shares no bucket with a chance of ``miss`` at most, whatever the number of nodes.
 
 Reverse neighbours used in the joins are the closest ``2 k`` of a node; this bounds the search alone, never the links.
 
@@ -167,9 +169,20 @@ def best_lists(edges: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def seed_bits(n: int) -> int:
+    """Signs in a bucket's key: buckets of about 96 nodes if these were spread evenly."""
+    return max(2, int(np.ceil(np.log2(max(n, 2) / 96))))
+
+
+def seed_tables(n: int, threshold: float, least: int, miss: float) -> int:
+    """How many tables leave a pair at the threshold in no common bucket with a chance of ``miss`` at most, but not fewer than ``least``."""
+    shared = (1 - np.arccos(threshold) / np.pi) ** seed_bits(n)
+    return max(least, int(np.ceil(np.log(miss) / np.log1p(-shared))))
+
+
 def seed_edges(nodes: DataFrame, v32: DataFrame, n: int, k: int, tables: int, seed: int, group: int = 384) -> DataFrame:
     """Each node's k closest in its buckets; a larger bucket is dealt at random into groups of bounded size."""
-    bits = max(2, int(np.ceil(np.log2(max(n, 2) / 96))))
+    bits = seed_bits(n)
     keyed = sign_tables(nodes, bits, tables, seed)
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"))
     dealt = keyed.join(sizes, "key").withColumn("part", F.xxhash64("key", F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("n") / group)))).select("part", "id")
@@ -302,7 +315,7 @@ def cross_counts(dense: DataFrame, threshold: float, block: int = 256) -> DataFr
     return one.select(*names).unionByName(two.select(*names)).groupBy("c1", "b1", "c2", "b2").applyInArrow(run, "id long, linked long, component long, other long")
 
 
-def near_vectors(rows: DataFrame, *, threshold: float = 0.9, k: int = 10, tables: int = 12, rounds: int = 3, audit: int = 1024, recall: float = 0.98, more: int = 2, settled: float = 0.002) -> DataFrame:
+def near_vectors(rows: DataFrame, *, threshold: float = 0.9, k: int = 10, tables: int = 12, rounds: int = 3, audit: int = 1024, recall: float = 0.98, more: int = 6, settled: float = 0.002, miss: float = 0.05) -> DataFrame:
     """(vec_id, n_links, component_id) for every row."""
     spark = rows.sparkSession
     small_batches(spark, rows=8000)
@@ -311,6 +324,7 @@ def near_vectors(rows: DataFrame, *, threshold: float = 0.9, k: int = 10, tables
     nodes = saved(grouped, "nodes")
     n = nodes.count()
     v32 = saved(_vectors32(nodes), "vectors32")
+    tables = seed_tables(n, threshold, tables, miss)
     lists = None
     for attempt in range(1 + more):
         edges = seed_edges(nodes, v32, n, k, tables, attempt)
@@ -321,11 +335,13 @@ def near_vectors(rows: DataFrame, *, threshold: float = 0.9, k: int = 10, tables
             lists = better
             if changed <= settled * n * k:
                 break
-        links, labels, degree = _degrees(lists, nodes, k, threshold)
-        found = _audit(nodes, degree, threshold, audit, n)
+        dense, labels, degree = _degrees(lists, nodes, k, threshold)
+        found = _audit(nodes, dense, degree, threshold, audit)
         log.info("NN-descent attempt %d: audited recall %.4f", attempt, found)
         if found >= recall:
             break
+    else:
+        raise RuntimeError(f"audited recall {found:.4f} is below {recall} after {1 + more} attempts with {tables} tables each")
     node_of = flat.select("vec_id", "h").join(nodes.select("h", "id", "mult"), "h", "left")
     out = node_of.join(degree.withColumnRenamed("id", "of"), F.col("id") == F.col("of"), "left").join(labels.select(F.col("node").alias("at"), "component"), F.col("id") == F.col("at"), "left")
     alone = F.coalesce(F.col("mult") - 1, F.lit(0))
@@ -333,7 +349,7 @@ def near_vectors(rows: DataFrame, *, threshold: float = 0.9, k: int = 10, tables
 
 
 def _degrees(lists: DataFrame, nodes: DataFrame, k: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Links, component labels and (id, links) from the lists, saturated ones enlarged to all saturated nodes."""
+    """Saturated nodes, component labels and (id, links) from the lists, saturated ones enlarged to all saturated nodes."""
     links = saved(exact_links(lists, nodes, threshold), "links")
     labels = saved(components(links), "labels")
     ends = links.select(F.col("a").alias("id"), F.col("b").alias("nbr")).unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("nbr")))
@@ -348,14 +364,20 @@ def _degrees(lists: DataFrame, nodes: DataFrame, k: int, threshold: float) -> tu
         merged = merged.select(F.col("node").alias("component"), F.col("component").alias("whole"))
         labels = saved(labels.join(merged, "component", "left").select("node", F.coalesce("whole", "component").alias("component")), "labels")
     degree = listed.unionByName(block_counts(dense, threshold)).unionByName(cross.select("id", "linked")).groupBy("id").agg(F.sum("linked").alias("links"))
-    return links, labels, saved(degree, "degrees")
+    return dense, labels, saved(degree, "degrees")
+
 
+def _audit(nodes: DataFrame, dense: DataFrame, degree: DataFrame, threshold: float, audit: int) -> float:
+    """Share of a node's true links that were found, on average over the nodes with links of a bounded set; the set travels with the tasks.
 
-def _audit(nodes: DataFrame, degree: DataFrame, threshold: float, audit: int, n: int) -> float:
-    """Share of the true links of a bounded set of nodes that were found; the set travels with the tasks."""
+    Saturated nodes are left out: their links with one another are counted exactly and would hide what the search
+    missed. A pair that it missed has an end that is not saturated.
+    """
+    open_ends = nodes.join(dense.select("id"), "id", "left_anti")
+    n = open_ends.count()
     if not n:
         return 1.0
-    some = nodes.where(F.pmod(F.xxhash64("id", F.lit("audit")), F.lit(1_000_000)) < int(min(1.0, audit / n) * 1_000_000)).limit(4 * audit).select("id", "v").toArrow()
+    some = open_ends.where(F.pmod(F.xxhash64("id", F.lit("audit")), F.lit(1_000_000)) < int(min(1.0, audit / n) * 1_000_000)).limit(4 * audit).select("id", "v").toArrow()
     if not len(some):
         return 1.0
     ids, vs = some.column("id").to_numpy(), some.column("v").to_pylist()
@@ -377,8 +399,8 @@ def _audit(nodes: DataFrame, degree: DataFrame, threshold: float, audit: int, n:
         yield pa.RecordBatch.from_pydict({"id": list(total), "true": [int(t) for t in total.values()]})
 
     truth = nodes.select("id", "v", "mult").mapInArrow(run, "id long, true long").groupBy("id").agg(F.sum("true").alias("true"))
-    row = truth.join(degree, "id", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("links", F.lit(0))))).first()
-    return 1.0 if not row[0] else row[1] / row[0]
+    row = truth.where(F.col("true") > 0).join(degree, "id", "left").agg(F.avg(F.least("true", F.coalesce("links", F.lit(0))) / F.col("true"))).first()
+    return 1.0 if row[0] is None else row[0]
 
 
 def vectors_query(rows: DataFrame) -> DataFrame:

@@ -99,6 +99,29 @@ def test_near_vectors_links_between_dense_groups(spark, cosine):
     assert [(got[i].n_links, got[i].component_id, got[i].kept) for i in range(len(x))] == [(int(near[i].sum()), of[i], of[i] == i) for i in range(len(x))]
 
 
+def test_near_vectors_audits_sparse_pairs(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 64))
+    y = x + rng.normal(size=(200, 64)) * 0.4  # pairs at about 0.93, with no other links
+    dense = rng.normal(size=64) + rng.normal(size=(300, 64)) * 0.1  # holds nearly all links
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y, dense]))], "vec_id long, embedding array<double>").repartition(3)
+    with pytest.raises(RuntimeError, match="recall"):
+        vectors.near_vectors(df, tables=1, rounds=0, more=0, miss=0.999)
+    m = np.concatenate([x, y])
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    near = m @ m.T >= 0.9
+    np.fill_diagonal(near, False)
+    got = {r.vec_id: r.n_links for r in vectors.near_vectors(df, tables=1, rounds=0, more=30, miss=0.999).collect()}
+    assert sum(min(got[i], near[i].sum()) for i in range(400)) >= 0.95 * near.sum() > 0
+
+
+def test_tables_grow_with_bits():
+    for n in (100, 100_000, 1_000_000, 10_000_000, 1_000_000_000):
+        tables, bits = vectors.seed_tables(n, 0.9, 12, 0.05), vectors.seed_bits(n)
+        assert tables >= 12 and (1 - (1 - np.arccos(0.9) / np.pi) ** bits) ** tables <= 0.05
+    assert [vectors.seed_tables(n, 0.9, 12, 0.05) for n in (1000, 100_000, 1_000_000)] == [12, 15, 25]
+
+
 def plain_jp(x, y):
     return sum(1 / sum(max(x.get(j, 0) / x[i], y.get(j, 0) / y[i]) for j in set(x) | set(y)) for i in set(x) & set(y))
 
