@@ -1,8 +1,9 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions alone.
 
-A line that takes part (``min_chars`` characters or more) goes if an equal line, or one within ``max_edits``
-character edits, comes earlier in the order (doc_id, text hash, line number). The first of its kind
-stays, and so do shorter lines.
+A line goes if an equal line, or one within ``max_edits`` character edits, comes earlier in the order
+(doc_id, text hash, line number); the first of its kind stays. Lines of ``min_equal`` characters or more are compared
+for equality and those of ``min_chars`` or more for edits: the query and the stage take every line that is not
+empty for the first, and ``min_equal`` is ``min_chars`` where it is not given. Shorter lines stay.
 
 Equal lines are found by an aggregate over line hashes. For the others every line is cut into ``max_edits + 1``
 segments; of two lines within the limit one holds a segment of the other unchanged, and where it may
@@ -152,12 +153,12 @@ def _near(df: DataFrame, small: DataFrame, on: str, rows: int, most: int = 1_000
     return df.join(F.broadcast(small) if rows <= most else small, on, "left_semi")
 
 
-def removed_lines(docs: DataFrame, *, max_edits: int = 2, min_chars: int = 24) -> DataFrame:
+def removed_lines(docs: DataFrame, *, max_edits: int = 2, min_chars: int = 24, min_equal: int | None = None) -> DataFrame:
     """(doc_id, th, no) of the lines that go; ``docs`` has doc_id, text and th."""
     spark = docs.sparkSession
     lines = _lines(docs, min_chars)
     place = F.struct("doc_id", "th", "no")
-    narrow = lines.select("h1", F.xxhash64(F.lit(1), "line").alias("h2"), "doc_id", "th", "no")
+    narrow = _lines(docs, min_chars if min_equal is None else min(min_equal, min_chars)).select("h1", F.xxhash64(F.lit(1), "line").alias("h2"), "doc_id", "th", "no")
     firsts = narrow.groupBy("h1", "h2").agg(F.min(place).alias("first"))
     exact = narrow.join(firsts, ["h1", "h2"]).where(place != F.col("first")).select("doc_id", "th", "no")
     if not max_edits:
@@ -189,11 +190,11 @@ def removed_lines(docs: DataFrame, *, max_edits: int = 2, min_chars: int = 24) -
     return exact.unionByName(later).distinct()
 
 
-def dedup_lines(docs: DataFrame, *, max_edits: int = 2, min_chars: int = 24) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, max_edits: int = 2, min_chars: int = 24, min_equal: int | None = None) -> DataFrame:
     """``docs`` with the lines cut from ``text``, and _lf_n_lines and _lf_n_removed added."""
     th = F.xxhash64("text")
     work = docs.select(F.col("doc_id"), "text", th.alias("th")).where(F.col("text").isNotNull())
-    gone = removed_lines(work, max_edits=max_edits, min_chars=min_chars).groupBy("doc_id", "th").agg(F.collect_set("no").alias("_lf_gone"))
+    gone = removed_lines(work, max_edits=max_edits, min_chars=min_chars, min_equal=min_equal).groupBy("doc_id", "th").agg(F.collect_set("no").alias("_lf_gone"))
     gone = gone.select(F.col("doc_id").alias("_lf_id"), F.col("th").alias("_lf_of"), "_lf_gone")
     keyed = docs.withColumn("_lf_th", th)
     out = keyed.join(gone, (F.col("_lf_th") == F.col("_lf_of")) & F.col("doc_id").eqNullSafe(F.col("_lf_id")), "left")
@@ -210,13 +211,13 @@ def dedup_lines(docs: DataFrame, *, max_edits: int = 2, min_chars: int = 24) ->
 
 def lines_query(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 of the text that is left, and its characters."""
-    done = dedup_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    done = dedup_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), min_equal=1)
     return done.select("doc_id", F.col("_lf_n_lines").alias("n_lines"), F.col("_lf_n_removed").alias("n_removed"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), F.length("text").cast("long").alias("kept_chars"))
 
 
 def lines_stage(docs: DataFrame) -> DataFrame:
     """Documents without their repeated lines; n_chars follows the text where there is such a column."""
-    done = dedup_lines(docs)
+    done = dedup_lines(docs, min_equal=1)
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.when(F.col("_lf_n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return done.select(*docs.columns)

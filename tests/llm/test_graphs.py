@@ -240,6 +240,16 @@ def test_line_dedup(spark, edits):
     assert line_dedup.lines_query(df.limit(0)).count() == 0
 
 
+def test_equal_short_lines_go(spark):
+    long = "a line of thirty characters..."
+    rows = [(1, f"All rights reserved.\n\n{long}\nx"), (2, f"x\n\n\nAll rights reserved!\nAll rights reserved."), (3, f"{long}\nAll rights reserved.\nx"), (4, "x\nx\n x")]
+    want = {1: rows[0][1], 2: "\n\nAll rights reserved!", 3: "", 4: " x"}
+    df = spark.createDataFrame([(d, t, len(t)) for d, t in rows], "doc_id long, text string, n_chars int").repartition(3)
+    assert {r.doc_id: (r.text, r.n_chars) for r in line_dedup.lines_stage(df).collect()} == {d: (t, len(t)) for d, t in want.items()}
+    got = {r.doc_id: (r.n_removed, r.kept_sha256, r.kept_chars) for r in line_dedup.lines_query(df).collect()}
+    assert got == {d: (n, hashlib.sha256(want[d].encode()).hexdigest(), len(want[d])) for d, n in zip(want, (0, 2, 3, 2), strict=True)}
+
+
 def test_line_dedup_runs_no_python(spark):
     df = spark.createDataFrame([(1, "a" * 30)], "doc_id long, text string")
     plan = line_dedup.dedup_lines(df)._jdf.queryExecution().toString()
