@@ -5,9 +5,13 @@ character trigrams with word-boundary marks. Viterbi over a document's words, wi
 every switch of language, labels spans; the document gets the language that holds most letters.
 
 The model is learned from labelled rows: trigram counts per language in ``buckets`` hash buckets, and
-letters per language and script. It is fitted on a sample bounded by ``sample_rows`` labelled documents
-(chosen by a hash of their ids, so the choice does not depend on partitioning); the model's size is
-bounded by languages times buckets.
+letters per language and script. It is fitted on a sample of about ``sample_rows`` labelled documents, or ``least_rows`` of each
+language if that is more: languages are counted over all rows, have equal shares, and one with fewer rows than its share is taken whole.
+Rows are chosen by a hash of id and text, so the choice does not depend on partitioning, and each language's smallest hash
+is in. The model's size is bounded by languages times buckets.
+
+The stage drops documents without letters, and those wholly in scripts that no labelled row uses; these scripts
+are looked up in all labelled rows, not in the sample. Where nothing is labelled all documents with letters stay.
 
 Nulls and empties: a null text, or one without letters, is ``und`` with score 0 and no spans. A text whose
 letters are all of scripts that no learned language uses gets the first language with score 0. Null ids
@@ -85,16 +89,32 @@ class Model:
         return len(self.logp)
 
 
-def fit(labelled: DataFrame, *, sample_rows: int = 20_000, buckets: int = 1 << 16, smoothing: float = 0.1) -> Model:
+def fair_share(counts: list[int], total: int, least: int) -> int:
+    """Rows of each language so that all have about ``total``, the smaller ones being whole; not fewer than ``least``."""
+    left, share = total, 0
+    for i, n in enumerate(sorted(counts)):
+        share = left // (len(counts) - i)
+        if n > share:
+            break
+        left -= n
+        share = n
+    return max(share, least)
+
+
+def fit(labelled: DataFrame, *, sample_rows: int = 20_000, least_rows: int = 1_000, buckets: int = 1 << 16, smoothing: float = 0.1) -> Model:
     """Learn from rows (doc_id, text, lang); rows with null text or lang teach nothing."""
     spark = labelled.sparkSession
     ship(spark)
     small_batches(spark)
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    n = rows.select("lang").count()
-    if n > sample_rows:
-        share = int(sample_rows / n * 1_000_000)
-        rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1_000_000)) < share)
+    n_of = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row for each language
+    if sum(n_of.values()) > sample_rows:
+        most = fair_share(list(n_of.values()), sample_rows, least_rows)
+        large = [(lang, int(most / n * 1_000_000)) for lang, n in n_of.items() if n > most]
+        h = F.xxhash64("doc_id", "text", F.lit("language sample"))
+        shares = F.broadcast(rows.sparkSession.createDataFrame(large, "lang string, share long"))
+        firsts = F.broadcast(rows.join(shares, "lang").groupBy("lang").agg(F.min(h).alias("first")))
+        rows = rows.join(shares, "lang", "left").join(firsts, "lang", "left").where(F.col("share").isNull() | (F.pmod(h, F.lit(1_000_000)) < F.col("share")) | (h == F.col("first"))).select("doc_id", "text", "lang")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams: dict[str, np.ndarray] = {}
@@ -269,6 +289,38 @@ def label_documents(docs: DataFrame, model: Model, *, penalty: float = 8.0, span
     return docs.mapInArrow(label, T.StructType(fields))
 
 
+def labelled_scripts(docs: DataFrame) -> list[str]:
+    """Names of the scripts of all letters in the labelled rows."""
+    ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
+    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text")
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        for batch in batches:
+            data, _ = text_bytes(batch.column("text"))
+            seen.update(data[data >= 0x80].tobytes().decode("utf-8", "ignore"))  # what is not ASCII has no byte below 0x80
+        scripts = {NAMES[script_of(c)] for c in seen if _LETTERS.match(c)}
+        yield pa.RecordBatch.from_pydict({"script": pa.array(sorted(scripts), pa.string())})
+
+    wide = rows.where(F.length("text") != F.octet_length("text")).mapInArrow(found, "script string").distinct()
+    names = {r["script"] for r in wide.collect()}
+    if "latin" not in names and not rows.where(F.col("text").rlike("[A-Za-z]")).isEmpty():
+        names.add("latin")
+    return [x for x in NAMES if x in names]
+
+
+def in_scripts(text: str, scripts: list[str] | None) -> Column:
+    """Whether a text has a letter of one of the scripts, or any letter if there are none."""
+    letters = r"\p{L}\p{Nl}\p{No}"
+    ranges = lambda some: "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for x, a, b in SCRIPTS if x in some)
+    if not scripts:
+        return F.coalesce(F.col(text).rlike(f"[{letters}]"), F.lit(False))
+    parts = [f"[{letters}&&[{ranges(scripts)}]]"] if ranges(scripts) else []
+    parts += [f"[{letters}&&[^{ranges(NAMES)}]]"] if NAMES[-1] in scripts else []
+    return F.coalesce(F.col(text).rlike("|".join(parts)), F.lit(False))
+
+
 def is_held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -280,6 +332,7 @@ def language_query(docs: DataFrame) -> DataFrame:
 
 
 def language_stage(docs: DataFrame) -> DataFrame:
-    """Documents with a language: those without letters, or wholly in scripts that no learned language uses, go."""
+    """Documents with a language: those without letters, or wholly in scripts that no labelled row uses, go."""
     model = fit(docs.where(~is_held_out()).select("doc_id", "text", "lang"))
-    return label_documents(docs, model).where((F.col("_lf_lang") != "und") & (F.col("_lf_score") > 0)).select(*docs.columns)
+    known = (F.col("_lf_lang") != "und") & (F.col("_lf_score") > 0)
+    return label_documents(docs, model).where(known | in_scripts("text", labelled_scripts(docs))).select(*docs.columns)

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lumenframe.llm import audio, language, packing, pieces, substring_dedup, token_files
 from lumenframe.llm._common import scratch
@@ -210,6 +211,29 @@ def test_language(spark):
     assert language.language_query(df.limit(0)).count() == 0
 
 
+def test_rare_languages_are_learned_and_kept(spark):
+    rows = [(i, f"the thing and word {i}", "en") for i in range(24_000)]
+    rare = next(i for i in range(30_000, 40_000) if zlib.crc32(str(i).encode()) % 4 != 2 and i % 7 == 0)
+    held = next(i for i in range(40_000, 50_000) if zlib.crc32(str(i).encode()) % 4 == 2)
+    rows += [(rare, "это как для него мир", "ru"), (held, "ქართული ენა", "ka"), (60_000, "漢字漢字", None), (60_001, "እንግሊዝኛ", None), (60_002, "12 34", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    teaching = df.where(~language.is_held_out())
+    assert language.fit(teaching, sample_rows=500, least_rows=100).languages == ["en", "ru"]
+    assert language.fit(teaching.withColumn("doc_id", F.lit(None).cast("long")), sample_rows=3, least_rows=1).languages == ["en", "ru"]
+    got = {r.doc_id: r.lang_pred for r in language.language_query(df).collect()}
+    assert got[rare] == "ru" and got[1] == "en"
+    kept = {r.doc_id for r in language.language_stage(df).collect()}
+    assert kept == {d for d, _, _ in rows} - {60_000, 60_001, 60_002}
+    assert language.labelled_scripts(df) == ["latin", "cyrillic", "georgian"]
+    unlabelled = df.where("doc_id < 5 OR doc_id >= 30000").withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in language.language_stage(unlabelled).collect()} == {0, 1, 2, 3, 4, rare, held, 60_000, 60_001}
+
+
+def test_fair_share():
+    assert language.fair_share([10, 10, 10], 30, 1) == 10 and language.fair_share([1, 100, 1000], 301, 1) == 200
+    assert language.fair_share([5, 1000, 1000], 100, 60) == 60
+
+
 def brute_segmentations(v, text):
     out = []
 
