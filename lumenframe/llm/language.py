@@ -212,14 +212,14 @@ def viterbi(scores: np.ndarray, code: np.ndarray, at: np.ndarray, penalty: float
     n = np.diff(at)
     order = np.argsort(-n, kind="stable")
     lens, base = n[order], at[:-1][order]
-    label = np.zeros(len(code), np.uint8)
+    kind = np.min_scalar_type(max(states - 1, 0))
+    label = np.zeros(len(code), kind)
     if not len(code):
         return label
     longest = int(lens[0])
     active = np.searchsorted(-lens, -np.arange(longest), side="left")  # documents with more than t words
-    best_before = np.zeros(len(code), np.uint8)
-    switched = np.zeros(len(code), np.uint32)
-    bits = (np.uint32(1) << np.arange(states, dtype=np.uint32))[None, :]
+    best_before = np.zeros(len(code), kind)
+    switched = np.zeros((len(code), -(-states // 8)), np.uint8)  # a bit for each state
     v = scores[code[base[: active[0]]]].astype(np.float64)
     for t in range(1, longest):
         k = active[t]
@@ -229,7 +229,7 @@ def viterbi(scores: np.ndarray, code: np.ndarray, at: np.ndarray, penalty: float
         jump = v[np.arange(k), top] - penalty
         better = v < jump[:, None]
         best_before[word] = top
-        switched[word] = (better * bits).sum(1)
+        switched[word] = np.packbits(better, axis=1, bitorder="little")
         v = np.where(better, jump[:, None], v) + scores[code[word]]
         done = slice(active[t + 1] if t + 1 < longest else 0, k)  # documents that end here
         label[word[done]] = v[done].argmax(1)
@@ -238,7 +238,7 @@ def viterbi(scores: np.ndarray, code: np.ndarray, at: np.ndarray, penalty: float
     for t in range(longest - 1, 0, -1):
         word = base[: active[t]] + t
         now = label[word]
-        label[word - 1] = np.where((switched[word] >> now) & 1, best_before[word], now)
+        label[word - 1] = np.where((switched[word, now >> 3] >> (now & 7).astype(np.uint8)) & 1, best_before[word], now)
     return label
 
 

@@ -185,6 +185,22 @@ def test_viterbi_equals_enumeration():
             assert value(got[a:b]) == pytest.approx(max(map(value, itertools.product(range(states), repeat=b - a))))
 
 
+@pytest.mark.parametrize("states", [33, 40, 64, 65, 300])
+def test_viterbi_with_many_states(states):
+    rng = np.random.default_rng(states)
+    scores, at, penalty = rng.normal(size=(60, states)) * 4, np.array([0, 20, 21, 21, 60]), 3.0
+    code = rng.integers(0, 60, 60)
+    label = language.viterbi(scores, code, at, penalty).astype(int)
+    for a, b in zip(at, at[1:]):
+        if a == b:
+            continue
+        v = scores[code[a]]
+        for c in code[a + 1 : b]:
+            v = np.maximum(v, v.max() - penalty) + scores[c]
+        path = label[a:b]
+        assert scores[code[a:b], path].sum() - penalty * (np.diff(path) != 0).sum() == pytest.approx(v.max())
+
+
 def test_language(spark):
     rnd = random.Random(3)
     make = {"en": ["the", "and", "ing", "with", "thor"], "fr": ["être", "le", "eau", "que", "aux"], "ru": ["это", "как", "для", "него", "мир"]}
