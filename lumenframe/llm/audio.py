@@ -9,7 +9,7 @@ sixteenths, with its time span. ``tensor_array`` gives them as Arrow's fixed-sha
 ``write_tensors`` stores them in Arrow IPC files.
 
 Nulls and empties: a null payload is empty; padding makes every stored payload at least one unit
-long. A clip shorter than a frame is padded with silence to one frame. Silence has the whole clip alone. Every
+long. A clip is padded with silence to one frame and whole hops behind it, so its last samples are in a frame. Silence has the whole clip alone. Every
 row is computed alone in fixed steps, so equal payloads give equal values. Other columns are not carried.
 """
 
@@ -118,8 +118,8 @@ def resample(x: np.ndarray, s: Settings) -> np.ndarray:
 
 def log_mels(x: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Log-mel energies in dB (frames x mels) and frame energies in dB, in steps of a fixed number of frames."""
-    if len(x) < s.frame:
-        x = np.concatenate([x, np.zeros(s.frame - len(x))])
+    hops = max(0, -(-(len(x) - s.frame) // s.hop))  # behind the first frame
+    x = np.concatenate([x, np.zeros(s.frame + hops * s.hop - len(x))])
     frames = np.lib.stride_tricks.sliding_window_view(x.astype(np.float32), s.frame)[:: s.hop]
     mels, energy = [], []
     for at in range(0, len(frames), 2048):

@@ -311,6 +311,17 @@ def test_hysteresis():
     assert audio.hysteresis(e, s) == [(2, 7)]  # the later rise stays below the upper threshold
 
 
+@pytest.mark.parametrize("n", [192, 512, 576, 768, 960, 1152])
+def test_last_samples_are_in_a_frame(n):
+    s = audio.Settings()
+    spans, tensors = audio.segment_tensors(bytes([128] * n), s)
+    assert spans[0, 1] >= n * 1000 // s.rate and spans[0, 1] <= max(n * 1000 / s.rate + 16, 32)
+    loud = bytes([128] * (n - 96)) + bytes([0, 255, 255, 0] * 24)
+    mels, energy = audio.log_mels(np.concatenate([np.zeros(n // 2 - 1), [1.0]]), s)
+    assert len(mels) == len(energy) == 1 + max(0, -(-(n // 2 - s.frame) // s.hop))
+    assert energy[-1] > -60 and not np.array_equal(audio.segment_tensors(loud, s)[1][0], tensors[0])
+
+
 def test_audio(spark, docs):
     got = audio.audio_query(docs).collect()
     rows = docs.collect()
