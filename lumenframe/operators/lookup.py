@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions.text import class_names
+from lumenframe.schema import OCR_VERSIONS, YOLO_VERSIONS
 
 
 def names_table(rows: DataFrame, metadata: str = "names") -> DataFrame:
@@ -37,18 +38,13 @@ def first_match(registry: DataFrame, position: str = "pos") -> DataFrame:
 
 def resolve(requests: DataFrame, registry: DataFrame, kind: str) -> DataFrame:
     """Requests with their model's row, and an error where the name or its version is unknown."""
-    from lumenframe.schema import OCR_VERSIONS, YOLO_VERSIONS
-
     known = YOLO_VERSIONS if kind == "yolo" else OCR_VERSIONS
-    code = "kModelError" if kind == "yolo" else "kParameterError"
     model = F.broadcast(first_match(registry.where(F.col("kind") == kind)).select(F.col("name").alias("model"), "version", "path"))
-    out = requests.join(model, "model", "left")
-    return out.withColumn(
-        "error_code", F.when(F.col("version").isNull(), F.lit("kModelError")).when(~F.col("version").isin(known), F.lit(code))
-    ).withColumn(
-        "error_message",
-        F.when(F.col("version").isNull(), F.concat(F.lit("unable to find model: "), "model")).when(~F.col("version").isin(known), F.concat(F.lit(f"unknown {kind} version: "), "version")),
-    )
+    out = requests.join(model, "model", "left")  # a registry is a small file
+    absent, other = F.col("version").isNull(), ~F.col("version").isin(known)
+    code = F.lit("kModelError" if kind == "yolo" else "kParameterError")
+    message = F.when(absent, F.concat(F.lit("the registry has no model "), "model")).when(other, F.concat("version", F.lit(f" is no version of a {kind} model")))
+    return out.withColumns({"error_code": F.when(absent, F.lit("kModelError")).when(other, code), "error_message": message})
 
 
 def with_frame(boxes: DataFrame, frames: DataFrame, frame: str = "frame_id") -> DataFrame:

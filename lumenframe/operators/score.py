@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lumenframe.functions.text import class_names  # noqa: F401  (names come from the metadata by the same rule)
+from lumenframe.cluster import ship
 
 # Execution provider names.
 PROVIDERS_OF = {
@@ -57,21 +58,36 @@ class OnnxModel:
         return np.asarray(s.run(None, {first.name: x.astype(kinds[first.type])})[0], np.float32)
 
 
+def float_rows(column: pa.Array) -> list[np.ndarray | None]:
+    """The arrays of a list column as views of its values."""
+    values, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    missing = column.is_null().to_pylist()
+    return [None if m else np.asarray(values[a:b], np.float32) for m, a, b in zip(missing, at, at[1:], strict=False)]
+
+
+def float_lists(rows: list[np.ndarray | None]) -> pa.ListArray:
+    """A list column from arrays; None is NULL."""
+    at = np.concatenate([[0], np.cumsum([0 if r is None else r.size for r in rows])]).astype(np.int32)
+    values = np.concatenate([np.zeros(0, np.float32), *(np.asarray(r, np.float32).ravel() for r in rows if r is not None)])
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(values), mask=pa.array([r is None for r in rows], pa.bool_()))
+
+
 def score(rows: DataFrame, scorer: Callable[[np.ndarray], np.ndarray], column: str = "data", into: str = "output", batched: bool = True) -> DataFrame:
     """Adds ``into`` (shape, data) for each row's float array; rows of one length go together when ``batched``."""
+    ship(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [None if v is None else np.asarray(v, np.float32) for v in batch.column(column).to_pylist()]
-            out: list[dict | None] = [None] * len(values)
+            values = float_rows(batch.column(column))
+            out: list[np.ndarray | None] = [None] * len(values)
             for n in sorted({len(v) for v in values if v is not None}):
                 at = [i for i, v in enumerate(values) if v is not None and len(v) == n]
                 for part in [at] if batched else [[i] for i in at]:
-                    y = scorer(np.stack([values[i] for i in part]))
-                    for i, r in zip(part, y, strict=True):
-                        out[i] = {"shape": list(r.shape), "data": r.ravel().tolist()}
-            kind = pa.struct([("shape", pa.list_(pa.int64())), ("data", pa.list_(pa.float32()))])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], [*batch.schema.names, into])
+                    for i, r in zip(part, scorer(np.stack([values[i] for i in part])), strict=True):
+                        out[i] = np.asarray(r, np.float32)
+            shape = pa.array([None if r is None else list(r.shape) for r in out], pa.list_(pa.int64()))
+            both = pa.StructArray.from_arrays([shape, float_lists(out)], ["shape", "data"], mask=pa.array([r is None for r in out], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, both], [*batch.schema.names, into])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInArrow(run, f"{kinds}, {into} struct<shape: array<bigint>, data: array<float>>")
@@ -90,13 +106,13 @@ def _field(number: int, wire: int, body: bytes | int) -> bytes:
     return head + (varint(body) if wire == 0 else varint(len(body)) + body)
 
 
-def elementwise_model(op: str = "Relu", width: int = 64, names: str = "{0: 'a'}") -> bytes:
-    """A one-node ONNX model over [batch, width] floats, written field by field: a stand-in where no model is shipped."""
+def elementwise_model(op: str = "Relu", width: int = 64, names: str = "{0: 'a'}", half: bool = False) -> bytes:
+    """A one-node ONNX model over [batch, width] floats, or half floats, written field by field: a stand-in where no model is shipped."""
     text = lambda n, s: _field(n, 2, s.encode())
 
     def value(name: str) -> bytes:
         dims = _field(1, 2, _field(2, 2, b"n")) + _field(1, 2, _field(1, 0, width))
-        return text(1, name) + _field(2, 2, _field(1, 2, _field(1, 0, 1) + _field(2, 2, dims)))
+        return text(1, name) + _field(2, 2, _field(1, 2, _field(1, 0, 10 if half else 1) + _field(2, 2, dims)))
 
     node = text(1, "x") + text(2, "y") + text(4, op)
     graph = _field(1, 2, node) + text(2, "g") + _field(11, 2, value("x")) + _field(12, 2, value("y"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.functions.geometry import hull_ratio, iou
 from lumenframe.schema import NMS_THRESHOLD
+from lumenframe.cluster import ship
 
 
 def fold(boxes: Column, overlaps) -> Column:
@@ -19,9 +20,14 @@ def fold(boxes: Column, overlaps) -> Column:
     return F.aggregate(boxes, none, lambda kept, b: F.when(F.exists(kept, lambda k: overlaps(k, b)), kept).otherwise(F.concat(kept, F.array(b))))
 
 
+def by_frame(rows: DataFrame, frame: str) -> DataFrame:
+    """Frames dealt to as many tasks as the session asks for: folds cost far more than their bytes say, so few large tasks would be slow."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), frame)
+
+
 def _folded(rows: DataFrame, frame: str, order: list[Column], carry: list[str], overlaps) -> DataFrame:
     box = F.struct(*(c.alias(f"_o{i}") for i, c in enumerate(order)), *(F.col(c) for c in carry))
-    grouped = rows.groupBy(frame).agg(F.array_sort(F.collect_list(box)).alias("_b"))
+    grouped = by_frame(rows, frame).groupBy(frame).agg(F.array_sort(F.collect_list(box)).alias("_b"))
     # explode_outer: a plain explode would have the optimizer evaluate the fold once more in a filter; no frame is empty here
     kept = grouped.select(frame, F.explode_outer(fold(F.col("_b"), overlaps)).alias("_k"))
     return kept.select(frame, *(F.col(f"_k.{c}").alias(c) for c in carry))
@@ -33,10 +39,15 @@ def nms(rows: DataFrame, *, frame: str = "frame_id", order: str = "det_no", thre
     return _folded(rows.where(F.col("confidence") > 0), frame, [-F.col("confidence"), F.col(order)], carry, lambda k, b: iou(k, b) > threshold)
 
 
+def large_enough(rows: DataFrame, min_area: int) -> DataFrame:
+    """Boxes of more than ``min_area`` pixels."""
+    return rows.where(F.col("w") * F.col("h") > min_area)
+
+
 def hull_dedupe(rows: DataFrame, *, frame: str = "frame_id", order: str = "box_no", threshold: float = NMS_THRESHOLD, min_area: int | None = 64, carry: list[str] | None = None) -> DataFrame:
     """Suppression in input order by the hull ratio; 0/0 overlaps nothing. Boxes of at most ``min_area`` are dropped before."""
     carry = carry or [c for c in rows.columns if c != frame]
-    rows = rows if min_area is None else rows.where(F.col("w") * F.col("h") > min_area)
+    rows = rows if min_area is None else large_enough(rows, min_area)
     return _folded(rows, frame, [F.col(order)], carry, lambda k, b: F.coalesce(hull_ratio(k, b) > threshold, F.lit(False)))
 
 
@@ -45,6 +56,8 @@ def nms_dense(rows: DataFrame, *, frame: str = "frame_id", order: str = "det_no"
     import numpy as np
     import pyarrow as pa
 
+    ship(rows.sparkSession)
+
     def keep(group: pa.Table) -> pa.Table:
         x, y, w, h = (group.column(c).to_numpy().astype(np.float64) for c in "xywh")
         rank = np.lexsort((group.column(order).to_numpy(), -group.column("confidence").to_numpy()))
@@ -61,4 +74,4 @@ def nms_dense(rows: DataFrame, *, frame: str = "frame_id", order: str = "det_no"
             alive[at + 1 :] &= ~(ratio > threshold)
         return group.take(pa.array(kept))
 
-    return rows.where(F.col("confidence") > 0).groupBy(frame).applyInArrow(keep, rows.schema)
+    return by_frame(rows.where(F.col("confidence") > 0), frame).groupBy(frame).applyInArrow(keep, rows.schema)

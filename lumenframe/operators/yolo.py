@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.functions import geometry as G
 from lumenframe.functions.arrays import argmax
 from lumenframe.operators.suppress import nms
-from lumenframe.schema import HTTP_THRESHOLD, YOLO_DECODED
+from lumenframe.schema import HTTP_THRESHOLD, YOLO_VERSIONS
 
 BOX = ["det_no", "class_id", "x", "y", "w", "h", "confidence"]
 
@@ -45,7 +48,44 @@ def decode_v10(rows: DataFrame, threshold: float = HTTP_THRESHOLD, suppress: boo
     return nms(found, carry=BOX) if suppress else found
 
 
+@dataclass(frozen=True)
+class Decoder:
+    """How a model's output becomes rows and these become detections.
+
+    ``transposed`` says that anchors are the output's last axis; ``columns`` takes rows (frame_id, det_no, values, model_w, model_h, orig_w, orig_h),
+    values being one anchor's numbers, and gives what ``decode`` takes with a threshold.
+    """
+
+    transposed: bool
+    columns: Callable[[DataFrame], DataFrame]
+    decode: Callable[[DataFrame, float], DataFrame]
+
+
+def anchor_columns(rows: DataFrame) -> DataFrame:
+    v = F.col("values")
+    return rows.select("*", *(v[i].alias(c) for i, c in enumerate(("cx", "cy", "bw", "bh"))), F.slice(v, F.lit(5), F.size(v) - 4).alias("scores"))
+
+
+def corner_columns(rows: DataFrame) -> DataFrame:
+    v = F.col("values")
+    return rows.select("*", *(v[i].alias(c) for i, c in enumerate(("left", "top", "right", "bottom", "confidence"))), v[5].cast("int").alias("class_id"))
+
+
+DECODERS: dict[str, Decoder] = {"kV11": Decoder(True, anchor_columns, decode_v11), "kV10": Decoder(False, corner_columns, decode_v10)}
+
+
+def register_decoder(version: str, decoder: Decoder) -> None:
+    """Add a version, such as a custom one, or replace it."""
+    if version not in YOLO_VERSIONS:
+        raise ValueError(f"kParameterError: {version} is no version of a detection model")
+    DECODERS[version] = decoder
+
+
+def decoder_of(version: str) -> Decoder:
+    if version not in DECODERS:
+        raise ValueError(f"kParameterError: no decoder for version {version}")
+    return DECODERS[version]
+
+
 def decode(rows: DataFrame, version: str, threshold: float = HTTP_THRESHOLD) -> DataFrame:
-    if version not in YOLO_DECODED:
-        raise ValueError(f"kParameterError: unknown yolo version: {version}")
-    return decode_v11(rows, threshold) if version == "kV11" else decode_v10(rows, threshold)
+    return decoder_of(version).decode(rows, threshold)

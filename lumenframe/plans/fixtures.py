@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenframe.cluster import ship
+from lumenframe.sources.images import encode_png
 from lumenframe.sources.registry import read_registry
 
 CLASS_METADATA = "{0: 'view', 1: 'signup', 2: 'error', 3: 'click', 4: 'purchase'}"
@@ -49,14 +53,18 @@ def sized(rows: DataFrame) -> DataFrame:
     return rows.selectExpr("*", *SIDES)
 
 
-def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").selectExpr(
+def as_anchors(embeddings: DataFrame) -> DataFrame:
+    e = embeddings.selectExpr(
         "vec_id div 50 AS frame_id", "vec_id AS det_no", *(f"CAST(abs(embedding[{i}]) * CAST(640 AS FLOAT) AS FLOAT) AS {c}" for i, c in enumerate(("cx", "cy", "bw", "bh"))),
         "slice(embedding, 5, 60) AS scores", "640 AS model_w", "640 AS model_h",
     )
     return sized(e)
 
 
+def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_anchors(table(spark, sf_dir, "embeddings"))
+
+
 def anchors_sql() -> str:
     box = ", ".join(f"abs(embedding[{i + 1}]) * CAST(640 AS FLOAT) AS {c}" for i, c in enumerate(("cx", "cy", "bw", "bh")))
     return f"SELECT *, {SIZES} FROM (SELECT vec_id // 50 AS frame_id, vec_id AS det_no, {box}, embedding[5:64] AS scores FROM embeddings)"
@@ -104,3 +112,29 @@ REGISTRY_SQL = (
     "(2, 'yolo', 'alpha', 'kV10', 'models/alpha-old.onnx'), (3, 'yolo', 'gamma', 'kV99', 'models/gamma.onnx'), "
     "(4, 'ocr', 'reader', 'kPPOCRv4', NULL)) AS r(pos, kind, name, version, path)"
 )
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, px): an 8 x 8 image of each vector, three bytes for each element."""
+    shades = F.transform("embedding", lambda e: F.floor(F.abs(e.cast("double")) * 1000).cast("int") % 256)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.flatten(F.transform(shades, lambda v: F.array(v, v * 7 % 256, v * 13 % 256))).alias("px"))
+
+
+PIXELS_SQL = (
+    "SELECT vec_id, flatten(list_transform(shades, lambda v: [v, v * 7 % 256, v * 13 % 256])) AS px FROM ("
+    "SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(abs(CAST(e AS DOUBLE)) * 1000) AS INT) % 256) AS shades FROM embeddings)"
+)
+
+
+def pngs(rows: DataFrame, side: int = 8) -> DataFrame:
+    """Rows with ``px``, a square image, to rows with ``content``, its PNG file."""
+    ship(rows.sparkSession)
+    rest = [c for c in rows.columns if c != "px"]
+
+    def pack(batches):
+        for b in batches:
+            blobs = [encode_png(np.array(p, np.uint8).reshape(side, side, 3)) for p in b.column("px").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(blobs, pa.binary())], [*rest, "content"])
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in rest)
+    return rows.select(*rest, "px").mapInArrow(pack, f"{kinds}, content binary")

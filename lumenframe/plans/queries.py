@@ -92,7 +92,7 @@ def conf_filter_inclusive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT frame_id, det_no, x, y, w, h FROM ({DET0}) WHERE w * h > 64")
 def min_rect_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.detections(spark, sf_dir, 0).where("w * h > 64").select("frame_id", "det_no", "x", "y", "w", "h")
+    return suppress.large_enough(D.detections(spark, sf_dir, 0), 64).select("frame_id", "det_no", "x", "y", "w", "h")
 
 
 @query(f"SELECT event_id, CASE WHEN width <= 0 OR height - 240 <= 0 THEN 'kParameterError: empty image' END AS error FROM ({D.FRAMES_SQL})")
@@ -292,7 +292,10 @@ def prob_binarise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(DILATED)
 def dilate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ocr.dilate(D.pixel_maps(spark, sf_dir)).select("frame_id", "x", "y", "m")
+    t = F.lit(0.15).cast("float")
+    maps = D.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame_id"), F.transform("embedding", lambda v: (v > t).cast("int")).alias("m"))
+    each = maps.select("frame_id", F.posexplode(ocr.dilate(F.col("m"), F.lit(8))).alias("p", "m"))
+    return each.select("frame_id", (F.col("p") % 8).alias("x"), F.floor(F.col("p") / 8).cast("int").alias("y"), "m")
 
 
 @query(f"WITH RECURSIVE {components_sql(MAPS)} SELECT * FROM numbered")
@@ -315,22 +318,19 @@ def text_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- pixels and tensors -------------------------------------------------------------------
 
-PIXELS = "SELECT vec_id, list_transform(embedding[1:48], lambda e: CAST(floor(abs(CAST(e AS DOUBLE)) * 1000) AS INT) % 256) AS px FROM embeddings"
+PIXELS = D.PIXELS_SQL
+_pixels = D.pixels
 
 
-def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 48), lambda e: F.floor(F.abs(e.cast("double")) * 1000).cast("int") % 256).alias("px"))
-
-
-@query(f"SELECT vec_id, CAST(i - 1 AS INT) AS pos, CAST(CAST(px[i] AS FLOAT) / CAST(255 AS FLOAT) AS FLOAT) AS unit, CAST((px[i] / CAST(255.0 AS DOUBLE) - CAST(0.5 AS DOUBLE)) / CAST(0.5 AS DOUBLE) AS FLOAT) AS centered FROM ({PIXELS}), range(1, 49) AS t(i)")
+@query(f"SELECT vec_id, CAST(i - 1 AS INT) AS pos, CAST(CAST(px[i] AS FLOAT) / CAST(255 AS FLOAT) AS FLOAT) AS unit, CAST((px[i] / CAST(255.0 AS DOUBLE) - CAST(0.5 AS DOUBLE)) / CAST(0.5 AS DOUBLE) AS FLOAT) AS centered FROM ({PIXELS}), range(1, 193) AS t(i)")
 def normalise_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _pixels(spark, sf_dir).select("vec_id", F.posexplode(F.arrays_zip(A.unit_pixels(F.col("px")).alias("u"), A.centered_pixels(F.col("px")).alias("c"))).alias("pos", "v"))
     return rows.select("vec_id", "pos", F.col("v.u").alias("unit"), F.col("v.c").alias("centered"))
 
 
-@query(f"SELECT vec_id, CAST(c * 16 + p AS INT) AS pos, px[p * 3 + (2 - c) + 1] AS v FROM ({PIXELS}), range(0, 3) AS t(c), range(0, 16) AS u(p)")
+@query(f"SELECT vec_id, CAST(c * 64 + p AS INT) AS pos, px[p * 3 + (2 - c) + 1] AS v FROM ({PIXELS}), range(0, 3) AS t(c), range(0, 64) AS u(p)")
 def hwc_to_chw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planes = A.planes_from_pixels(F.col("px"), F.lit(4), F.lit(4))
+    planes = A.planes_from_pixels(F.col("px"), F.lit(8), F.lit(8))
     return _pixels(spark, sf_dir).select("vec_id", F.posexplode(planes).alias("pos", "v"))
 
 
@@ -340,19 +340,13 @@ def shape_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", A.shape_size(shape).alias("size"))
 
 
-@query(f"SELECT vec_id, CAST(list_sum(px) AS BIGINT) AS total, 4 AS height, 4 AS width FROM ({PIXELS})")
-def png_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import numpy as np
-    import pyarrow as pa
+HEX = "array_to_string(list_transform(px, lambda p: upper(lpad(hex(p), 2, '0'))), '')"
 
-    def pack(batches):
-        for b in batches:
-            blobs = [images.encode_png(np.array(p, np.uint8).reshape(4, 4, 3)) for p in b.column("px").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(blobs, pa.binary())], ["vec_id", "content"])
 
-    rows = images.decode_images(_pixels(spark, sf_dir).mapInArrow(pack, "vec_id long, content binary"))
-    total = F.aggregate(F.sequence(F.lit(1), F.length("data")), F.lit(0).cast("long"), lambda a, i: a + F.conv(F.hex(F.substring(F.col("data"), i, F.lit(1))), 16, 10).cast("long"))
-    return rows.select("vec_id", total.alias("total"), "height", "width")
+@query(f"SELECT vec_id, {HEX} AS pixels, 8 AS height, 8 AS width FROM ({PIXELS})")
+def png_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = images.decode_images(D.pngs(_pixels(spark, sf_dir)))
+    return rows.select("vec_id", F.hex("data").alias("pixels"), "height", "width")
 
 
 @query("SELECT vec_id, CAST(i - 1 AS INT) AS pos, greatest(embedding[i], CAST(0 AS FLOAT)) AS v FROM embeddings, range(1, 65) AS t(i)")
@@ -382,28 +376,33 @@ def base64_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 RESPONSES = f"SELECT frame_id // 4 AS request_id, CAST(frame_id % 4 AS INT) AS image_no, * FROM ({DET}) WHERE confidence > 0.9"
 
 
-@query(f"""SELECT request_id, CAST(pos AS INT) AS pos, CAST(rank AS INT) AS rank, class_id, x, y, w, h, CAST(5 AS INT) AS n_classes FROM (
- SELECT request_id, dense_rank() OVER (PARTITION BY request_id ORDER BY image_no) - 1 AS pos, row_number() OVER (PARTITION BY request_id, image_no ORDER BY det_no) - 1 AS rank, class_id, x, y, w, h FROM ({RESPONSES}))""")
+@query(f"""SELECT request_id, CAST(pos AS INT) AS pos, CAST(rank AS INT) AS rank, class_id, confidence, x, y, w, h FROM (
+ SELECT request_id, dense_rank() OVER (PARTITION BY request_id ORDER BY image_no) - 1 AS pos, row_number() OVER (PARTITION BY request_id, image_no ORDER BY det_no) - 1 AS rank, class_id, CAST(confidence AS FLOAT) AS confidence, x, y, w, h FROM ({RESPONSES}))""")
 def yolo_response_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = yolo.confident(D.detections(spark, sf_dir), 0.9)
     rows = d.selectExpr("frame_id div 4 AS request_id", "CAST(frame_id % 4 AS INT) AS image_no", "det_no AS rank", "class_id", "CAST(confidence AS FLOAT) AS confidence", "x", "y", "w", "h")
     bodies = requests.to_body(requests.yolo_response(rows, ["view", "signup", "error", "click", "purchase"]))
     shape = "struct<class_names: array<string>, results: array<array<struct<class_id: int, confidence: float, bbox: array<int>>>>>"
-    back = bodies.select("request_id", F.from_json("body", shape).alias("b")).select("request_id", F.size("b.class_names").alias("n_classes"), F.posexplode("b.results").alias("pos", "objects"))
-    each = back.select("request_id", "pos", "n_classes", F.posexplode("objects").alias("rank", "o"))
-    return each.select("request_id", "pos", "rank", "o.class_id", *(F.col("o.bbox")[i].alias(c) for i, c in enumerate("xywh")), "n_classes")
+    back = bodies.select("request_id", F.from_json("body", shape).alias("b")).select("request_id", F.posexplode("b.results").alias("pos", "objects"))
+    each = back.select("request_id", "pos", F.posexplode("objects").alias("rank", "o"))
+    return each.select("request_id", "pos", "rank", "o.class_id", "o.confidence", *(F.col("o.bbox")[i].alias(c) for i, c in enumerate("xywh")))
 
 
-@query(f"""SELECT request_id, CAST(n AS BIGINT) AS n_images, least(n, 4) = n AS complete, CAST(coalesce(k, 0) AS BIGINT) AS n_lines FROM (
- SELECT vec_id // 4 AS request_id, count(*) AS n FROM embeddings GROUP BY 1) LEFT JOIN (
- SELECT vec_id // 4 AS request_id, count(*) AS k FROM embeddings WHERE embedding[1] > CAST(0 AS FLOAT) GROUP BY 1) USING (request_id)""")
+LINES = f"SELECT vec_id // 4 AS request_id, vec_id % 4 AS image_no, step, idx, score FROM ({BEST}) WHERE idx <> 0"
+
+
+@query(f"""SELECT request_id, CAST(image_no AS INT) AS image_no, CAST(row_number() OVER (PARTITION BY request_id, image_no ORDER BY step) - 1 AS INT) AS rank,
+  coalesce(['a', 'b', 'c', 'd', 'e'][idx], '') AS line, score AS confidence, step AS x, idx AS y, CAST(step + idx AS INT) AS w, CAST(step * idx AS INT) AS h FROM ({LINES})""")
 def ocr_response_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = D.table(spark, sf_dir, "embeddings")
-    frames = e.selectExpr("vec_id div 4 AS request_id", "CAST(vec_id % 4 AS INT) AS image_no", "CAST(NULL AS STRING) AS error_code")
-    rows = e.where("embedding[0] > CAST(0 AS FLOAT)").selectExpr("vec_id div 4 AS request_id", "CAST(vec_id % 4 AS INT) AS image_no", "0 AS rank", "'line' AS line", "embedding[0] AS confidence", "1 AS x", "2 AS y", "3 AS w", "4 AS h")
-    out = requests.ocr_response(rows, frames=frames)
-    lines = F.aggregate("results", F.lit(0).cast("long"), lambda a, r: a + F.size(r))
-    return out.select("request_id", F.size("results").cast("long").alias("n_images"), (F.least(F.size("results"), F.lit(4)) == F.size("results")).alias("complete"), lines.alias("n_lines"))
+    """Each step of an image that is no blank answers as a line of its own; images without one answer with an empty list."""
+    best = D.steps(spark, sf_dir).select("vec_id", F.posexplode(ocr.best_steps(F.col("steps"))).alias("step", "b")).select("vec_id", "step", "b.score", "b.idx").where("idx <> 0")
+    lines = lookup.with_character(best, spark.createDataFrame(list(enumerate(D.CHARACTERS)), "idx int, ch string"))
+    rows = lines.selectExpr("vec_id div 4 AS request_id", "CAST(vec_id % 4 AS INT) AS image_no", "step AS rank", "ch AS line", "score AS confidence", "step AS x", "idx AS y", "step + idx AS w", "step * idx AS h")
+    frames = D.table(spark, sf_dir, "embeddings").selectExpr("vec_id div 4 AS request_id", "CAST(vec_id % 4 AS INT) AS image_no", "CAST(NULL AS STRING) AS error_code")
+    shape = "struct<results: array<array<struct<line: string, confidence: float, bbox: array<int>>>>>"
+    back = requests.to_body(requests.ocr_response(rows, frames=frames)).where("status = 200").select("request_id", F.posexplode(F.from_json("body", shape)["results"]).alias("image_no", "objects"))
+    each = back.select("request_id", "image_no", F.posexplode("objects").alias("rank", "o"))
+    return each.select("request_id", "image_no", "rank", "o.line", "o.confidence", *(F.col("o.bbox")[i].alias(c) for i, c in enumerate("xywh")))
 
 
 # --- registry and options -----------------------------------------------------------------
@@ -436,10 +435,10 @@ def ep_support(spark: SparkSession, sf_dir: str) -> DataFrame:
 OPTIONS = "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CAST(user_id AS VARCHAR) || 'x' WHEN event_id % 3 = 1 THEN 'x' END AS device FROM events"
 
 
-@query(f"SELECT event_id, coalesce(device, '0') AS device, try_cast(nullif(regexp_extract(coalesce(device, '0'), '^\\s*([+-]?\\d+)', 1), '') AS INT) AS device_id, CAST(1 + (device IS NULL OR true)::INT AS INT) AS n_options FROM ({OPTIONS})")
+@query(f"SELECT event_id, coalesce(device, '0') AS device, try_cast(nullif(regexp_extract(coalesce(device, '0'), '^\\s*([+-]?\\d+)', 1), '') AS INT) AS device_id, CAST(1 + (event_id % 2 = 0)::INT AS INT) AS n_options FROM ({OPTIONS})")
 def option_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     device = F.when(F.col("event_id") % 3 == 0, F.concat(F.col("user_id").cast("string"), F.lit("x"))).when(F.col("event_id") % 3 == 1, F.lit("x"))
-    given = F.create_map(F.lit("infer_ep"), F.lit("kCPU"))
+    given = F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("infer_ep"), F.lit("kCPU"))).otherwise(F.create_map().cast("map<string,string>"))
     options = F.when(device.isNotNull(), F.map_concat(given, F.create_map(F.lit("infer_device"), device))).otherwise(given)
     rows = D.table(spark, sf_dir, "events").select("event_id", X.with_option(options, "infer_device", "0").alias("o"))
     value = X.option(F.col("o"), "infer_device", "0")
@@ -451,10 +450,10 @@ def enum_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.table(spark, sf_dir, "events").select("event_id", X.one_of(F.col("event_type"), ["view", "click"]).alias("kind"))
 
 
-@query("SELECT doc_id, CAST(length(replace(text, chr(13), '')) AS INT) AS n_clean, replace(replace(text[1:40], chr(13), ''), chr(10), '') AS head FROM documents")
+@query("SELECT doc_id, CAST(length(replace(text, chr(13), '')) AS INT) AS n_clean, md5(replace(replace(text, chr(13), ''), chr(10), '')) AS one_line FROM documents")
 def clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = D.table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.length(X.without_cr(F.col("text"))).alias("n_clean"), X.one_line(F.substring("text", 1, 40)).alias("head"))
+    return d.select("doc_id", F.length(X.without_cr(F.col("text"))).alias("n_clean"), F.md5(X.one_line(F.col("text")).cast("binary")).alias("one_line"))
 
 
 @query("SELECT event_id, 'user-' || user_id || ':' || (event_id % 65536) || ' -> ' || event_type AS line FROM events")
@@ -475,26 +474,3 @@ def frame_rate_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT user_id, arg_max(event_id, event_id) AS event_id, arg_max(width, event_id) AS width, arg_max(height, event_id) AS height FROM ({D.FRAMES_SQL}) GROUP BY user_id")
 def latest_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.latest(D.frames(spark, sf_dir), "user_id", "event_id", ["event_id", "width", "height"])
-
-
-def _drained(spark: SparkSession, rows: DataFrame, name: str, mode: str) -> DataFrame:
-    query = rows.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
-
-
-def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{sf_dir}/events.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path if path.endswith("/") else f"{sf_dir}/events.parque[t]")
-
-
-@query()
-def stream_fps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _event_stream(spark, sf_dir).select("user_id", "ts")
-    return _drained(spark, stream.frame_rate(rows, "user_id", window=3600.0), "stream_fps", "append").selectExpr("k AS user_id", "at", "frames_per_second")
-
-
-@query()
-def stream_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _event_stream(spark, sf_dir).selectExpr("event_id", "least(value / 20.0D, 1.0D) AS confidence")
-    return _drained(spark, yolo.confident(rows, 0.5), "stream_detections", "append")

@@ -71,9 +71,9 @@ class ServerConfig:
 def check_engine(framework: str, provider: str) -> None:
     """Raise unless both names are known and go together."""
     if framework not in FRAMEWORKS or provider not in PROVIDERS:
-        raise ValueError(f"kParameterError: unsupported infer_framework:{framework} or infer_ep:{provider}")
+        raise ValueError(f"kParameterError: {framework} is no framework, or {provider} no provider, that has a name here")
     if (framework, provider) not in SUPPORTED:
-        raise ValueError(f"kModelError: unable to create infer context with {framework}:{provider}")
+        raise ValueError(f"kModelError: {framework} does not run on {provider}")
 
 
 def supported(rows: DataFrame, framework: str = "framework", provider: str = "ep") -> DataFrame:

@@ -5,12 +5,15 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lumenframe.cluster import ship
+
 log = logging.getLogger("lumenframe")
 
 
@@ -43,30 +46,37 @@ class FrameRate:
         return self.rate
 
 
-def frame_rate(frames: DataFrame, key: str, time: str = "ts", window: float = 1.0) -> DataFrame:
-    """Stream of (key, at, frames_per_second), a row whenever a key's window closes. The clock is the column ``time``, in seconds."""
+def frame_rate(frames: DataFrame, key: str, time: str = "ts", window: float = 1.0, forget_ms: int | None = None) -> DataFrame:
+    """Stream of (key, at, frames_per_second), a row whenever a key's window closes. The clock is the column ``time``, in seconds.
+
+    With ``forget_ms`` a key without frames for so long, by processing time, loses its state and starts afresh with its next frame; such a
+    stream runs batches without data too, so it never ends by itself under availableNow.
+    A batch's frames of a key are sorted together: the intake bounds a batch.
+    """
+    ship(frames.sparkSession)
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(parts).sort_values("t")
-        counter = None
+        if state.hasTimedOut:
+            state.remove()
+            return
+        times = np.sort(np.concatenate([p["t"].to_numpy() for p in parts]))
+        counter = FrameRate(float(times[0]), window)
         if state.exists:
-            start, count = state.get
-            counter = FrameRate(start, window)
-            counter.count = count
+            counter.start, counter.count = state.get
         out = []
-        for t in rows["t"]:
-            if counter is None:
-                counter = FrameRate(t, window)
+        for t in times.tolist():
             rate = counter.update(t)
             if rate is not None:
                 out.append((k[0], t, rate))
         state.update((float(counter.start), int(counter.count)))
+        if forget_ms is not None:
+            state.setTimeoutDuration(forget_ms)
         if out:
             yield pd.DataFrame(out, columns=["k", "at", "frames_per_second"])
 
     keyed = frames.select(F.col(key).alias("k"), F.col(time).cast("timestamp").cast("double").alias("t"))
     kind = keyed.schema["k"].dataType.simpleString()
-    return keyed.groupBy("k").applyInPandasWithState(step, f"k {kind}, at double, frames_per_second double", "start double, count long", "append", GroupStateTimeout.NoTimeout)
+    return keyed.groupBy("k").applyInPandasWithState(step, f"k {kind}, at double, frames_per_second double", "start double, count long", "append", GroupStateTimeout.NoTimeout if forget_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def latest(frames: DataFrame, key: str | None, order: str, carry: list[str]) -> DataFrame:
