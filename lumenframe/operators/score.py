@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 
 from lumenframe.functions.text import class_names  # noqa: F401  (names come from the metadata by the same rule)
 from lumenframe.cluster import ship
+from lumenframe.schema import TENSOR
 
 # Execution provider names.
 PROVIDERS_OF = {
@@ -90,7 +91,7 @@ def score(rows: DataFrame, scorer: Callable[[np.ndarray], np.ndarray], column: s
             yield pa.RecordBatch.from_arrays([*batch.columns, both], [*batch.schema.names, into])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{kinds}, {into} struct<shape: array<bigint>, data: array<float>>")
+    return rows.mapInArrow(run, f"{kinds}, {into} {TENSOR}")
 
 
 def _field(number: int, wire: int, body: bytes | int) -> bytes:

@@ -11,7 +11,7 @@ from lumenframe.functions import text as X
 from lumenframe.operators import lookup, ocr, pipelines, requests, score, yolo
 from lumenframe.plans import fixtures as D
 from lumenframe.plans.queries import ANCHORS, BEST, DET, NMS_ORDER, NMS_OVER, PIXELS, QUERIES, SQL, V11_BOXES, greedy, query, scale_sql
-from lumenframe.schema import FRAMEWORKS, PROVIDERS, SUPPORTED
+from lumenframe.schema import FRAMEWORKS, PROVIDERS, SUPPORTED, VIDEO_THRESHOLD, YOLO_RESPONSE
 from lumenframe.sources import files, images, registry
 from lumenframe.streaming import frames as stream
 
@@ -280,8 +280,7 @@ def answer_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     blind = lambda x: np.zeros((1, 6, 3), np.float32)  # noqa: E731  finds nothing
     models = {"beta": pipelines.YoloModel(corner_scorer, 8, 8, ["a", "b"]), "alpha": pipelines.YoloModel(blind, 8, 8, ["a", "b"])}
     answers = pipelines.answer_yolo(rows, D.registry(spark), models)
-    shape = "struct<class_names: array<string>, results: array<array<struct<class_id: int, confidence: float, bbox: array<int>>>>>"
-    back = answers.withColumn("b", F.when(F.col("status") == 200, F.from_json("body", shape)))
+    back = answers.withColumn("b", F.when(F.col("status") == 200, F.from_json("body", YOLO_RESPONSE)))
     flat = F.flatten("b.results")
     boxes = F.aggregate(flat, F.lit(0).cast("long"), lambda acc, r: acc + r["bbox"][0] + 10 * r["bbox"][1] + 100 * r["bbox"][2] + 1000 * r["bbox"][3])
     size = lambda c: F.when(F.col("status") == 200, F.size(c))
@@ -323,13 +322,13 @@ def stream_fps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(rates.schema).parquet(f"{path}/rows").selectExpr("k AS user_id", "at", "frames_per_second")
 
 
-@query(f"WITH RECURSIVE {greedy(scale_sql(V11_BOXES), NMS_ORDER, NMS_OVER)} SELECT frame_id, det_no, class_id, x, y, w, h, confidence FROM kept")
+@query(f"WITH RECURSIVE {greedy(scale_sql(V11_BOXES.replace('0.125', str(VIDEO_THRESHOLD))), NMS_ORDER, NMS_OVER)} SELECT frame_id, det_no, class_id, x, y, w, h, confidence FROM kept")
 def stream_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames as a stream whose batches are decoded and suppressed; a frame comes in one file, so in one batch."""
     path = scratch(spark, "detections")
 
     def put(batch: DataFrame, number: int) -> None:
-        yolo.decode(D.as_anchors(batch), "kV11").write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        yolo.decode(D.as_anchors(batch), "kV11", VIDEO_THRESHOLD).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
 
     query = _stream(spark, sf_dir, "embeddings").writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/state").start()
     stream.run_to_end(query)

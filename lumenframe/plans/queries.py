@@ -13,7 +13,7 @@ from lumenframe.functions import text as X
 from lumenframe.operators import lookup, ocr, requests, score, suppress, yolo
 from lumenframe.operators.components import component_boxes
 from lumenframe.plans import fixtures as D
-from lumenframe.schema import SUPPORTED
+from lumenframe.schema import OCR_RESPONSE, SUPPORTED, YOLO_RESPONSE
 from lumenframe.sources import images, registry
 from lumenframe.streaming import frames as stream
 
@@ -382,8 +382,7 @@ def yolo_response_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = yolo.confident(D.detections(spark, sf_dir), 0.9)
     rows = d.selectExpr("frame_id div 4 AS request_id", "CAST(frame_id % 4 AS INT) AS image_no", "det_no AS rank", "class_id", "CAST(confidence AS FLOAT) AS confidence", "x", "y", "w", "h")
     bodies = requests.to_body(requests.yolo_response(rows, ["view", "signup", "error", "click", "purchase"]))
-    shape = "struct<class_names: array<string>, results: array<array<struct<class_id: int, confidence: float, bbox: array<int>>>>>"
-    back = bodies.select("request_id", F.from_json("body", shape).alias("b")).select("request_id", F.posexplode("b.results").alias("pos", "objects"))
+    back = bodies.select("request_id", F.from_json("body", YOLO_RESPONSE).alias("b")).select("request_id", F.posexplode("b.results").alias("pos", "objects"))
     each = back.select("request_id", "pos", F.posexplode("objects").alias("rank", "o"))
     return each.select("request_id", "pos", "rank", "o.class_id", "o.confidence", *(F.col("o.bbox")[i].alias(c) for i, c in enumerate("xywh")))
 
@@ -399,8 +398,7 @@ def ocr_response_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = lookup.with_character(best, spark.createDataFrame(list(enumerate(D.CHARACTERS)), "idx int, ch string"))
     rows = lines.selectExpr("vec_id div 4 AS request_id", "CAST(vec_id % 4 AS INT) AS image_no", "step AS rank", "ch AS line", "score AS confidence", "step AS x", "idx AS y", "step + idx AS w", "step * idx AS h")
     frames = D.table(spark, sf_dir, "embeddings").selectExpr("vec_id div 4 AS request_id", "CAST(vec_id % 4 AS INT) AS image_no", "CAST(NULL AS STRING) AS error_code")
-    shape = "struct<results: array<array<struct<line: string, confidence: float, bbox: array<int>>>>>"
-    back = requests.to_body(requests.ocr_response(rows, frames=frames)).where("status = 200").select("request_id", F.posexplode(F.from_json("body", shape)["results"]).alias("image_no", "objects"))
+    back = requests.to_body(requests.ocr_response(rows, frames=frames)).where("status = 200").select("request_id", F.posexplode(F.from_json("body", OCR_RESPONSE)["results"]).alias("image_no", "objects"))
     each = back.select("request_id", "image_no", F.posexplode("objects").alias("rank", "o"))
     return each.select("request_id", "image_no", "rank", "o.line", "o.confidence", *(F.col("o.bbox")[i].alias(c) for i, c in enumerate("xywh")))
 

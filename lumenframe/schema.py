@@ -1,18 +1,11 @@
-"""Spark types of the data model: images, tensors, detections, recognised text, requests and responses."""
+"""Spark types of tensors, requests and responses, and the names and thresholds that all modules share."""
 
 from __future__ import annotations
 
-RECT = "struct<x: int, y: int, w: int, h: int>"
-IMAGE = "struct<origin: string, height: int, width: int, nChannels: int, mode: int, data: binary>"
 TENSOR = "struct<shape: array<bigint>, data: array<float>>"
-YOLO_RESULT = f"struct<class_id: int, bbox: {RECT}, confidence: float, class_name: string>"
-YOLO_FRAME = f"array<{YOLO_RESULT}>"
-OCR_RESULT = f"struct<rect: {RECT}, confidence: float, line: string>"
-OCR_FRAME = f"array<{OCR_RESULT}>"
 REQUEST = "model string, images array<string>"
 YOLO_RESPONSE = "struct<class_names: array<string>, results: array<array<struct<class_id: int, confidence: float, bbox: array<int>>>>>"
 OCR_RESPONSE = "struct<results: array<array<struct<line: string, confidence: float, bbox: array<int>>>>>"
-OUTCOME = "struct<ok: boolean, error_code: string, error_message: string>"
 
 # Error codes, versions, kinds, frameworks, providers and options by their exact names.
 ERROR_CODES = [
@@ -20,7 +13,6 @@ ERROR_CODES = [
     "kRangeError", "kParameterError", "kIOError", "kDeviceError", "kModelError",
 ]
 YOLO_VERSIONS = ["kVCustom", "kV10", "kV11"]
-YOLO_DECODED = ["kV10", "kV11"]
 OCR_VERSIONS = ["kPPOCRv3", "kPPOCRv4", "kEasyOCR"]
 FRAMEWORKS = ["kCUSTOM_FRAMEWORK", "kONNXRUNTIME", "kTVM"]
 PROVIDERS = ["kCUSTOM_EP", "kCPU", "kDML", "kCUDA", "kTensorRT", "kRKNPU", "kVulkan", "kOpenGL", "kOpenCL"]

@@ -43,3 +43,47 @@ def test_show_latest(spark, tmp_path):
     q = S.show_latest(S.read_frames(spark, str(tmp_path / "in"), "k int, seq int"), lambda d: seen.extend(map(tuple, d.collect())), None, "seq", ["seq"], str(tmp_path / "c"))
     S.run_to_end(q)
     assert seen == [(9,)]
+
+
+def test_listener_and_console(spark, tmp_path, caplog, capfd):
+    import logging
+    import time
+
+    from lumenframe.logs import ProgressListener, logger, write
+
+    spark.createDataFrame([(1, 5)], "k int, seq int").repartition(1).write.parquet(str(tmp_path / "in"))
+    listener = ProgressListener()
+    spark.streams.addListener(listener)
+    try:
+        with caplog.at_level(logging.DEBUG, logger="lumenframe"):
+            S.run_to_end(S.to_console(S.read_frames(spark, str(tmp_path / "in"), "k int, seq int"), str(tmp_path / "c")))
+            for _ in range(100):
+                if any("ended" in r.getMessage() for r in caplog.records):
+                    break
+                time.sleep(0.1)
+            write("io", "fatal", "two\r\nlines")
+    finally:
+        spark.streams.removeListener(listener)
+    said = [(r.name, r.getMessage()) for r in caplog.records]
+    assert any(n == "lumenframe.stream" and m.startswith("started") for n, m in said) and any(m.endswith("1 rows") for _, m in said) and ("lumenframe.io", "twolines") in said
+    assert logger("io") is logger("io")
+
+
+def test_state_of_silent_keys_can_go(spark, tmp_path):
+    """With a time limit the stream goes on by itself and its state empties."""
+    import time
+
+    spark.createDataFrame([(1, 0.0), (2, 0.0)], "k int, s double").selectExpr("k", "timestamp_seconds(s) AS ts").repartition(1).write.parquet(str(tmp_path / "in"))
+    live = S.read_frames(spark, str(tmp_path / "in"), "k int, ts timestamp")
+    q = S.frame_rate(live, "k", forget_ms=500).writeStream.format("memory").queryName("silent").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        left = None
+        for _ in range(300):
+            states = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+            left = states[-1] if states else left
+            if left == 0 and max(states) == 2:
+                break
+            time.sleep(0.2)
+        assert left == 0
+    finally:
+        q.stop()

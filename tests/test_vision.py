@@ -54,6 +54,36 @@ def test_requests(spark):
     assert bytes(each[1, 0].content) == b"abc" and each[1, 1].error_code == "kParameterError"
 
 
+def test_all_codes_are_known_ones(spark):
+    from lumenframe.operators.lookup import resolve
+    from lumenframe.schema import ERROR_CODES
+
+    r = registry.read_registry(spark, "yolo:\n- {name: a, version: kV99, path: p}\nocr:\n- {name: o, version: x, det_path: p, rec_path: p, char_dict_path: p}\n")
+    asked = spark.createDataFrame([(m,) for m in ("a", "o", "none")], "model string")
+    codes = {x.error_code for kind in ("yolo", "ocr") for x in resolve(asked, r, kind).collect()}
+    assert codes == {"kModelError", "kParameterError"} and codes < set(ERROR_CODES)
+
+
+def test_answers_for_text(spark):
+    from lumenframe.operators.pipelines import answer_ocr
+    from lumenframe.plans.flows import map_detector, width_recognizer
+
+    px = np.zeros((32, 32, 3), np.uint8)
+    px[4:12, 4:14] = 255
+    code = lambda b: base64.b64encode(b).decode()
+    ok = json.dumps({"model": "o", "images": [code(images.encode_png(px)), code(b"no image"), code(images.encode_png(px * 0))]})
+    rows = [(1, ok), (2, json.dumps({"model": "o", "images": []})), (3, "{"), (4, json.dumps({"model": "p", "images": []}))]
+    r = registry.read_registry(spark, "ocr:\n- {name: o, version: kPPOCRv4, det_path: p, rec_path: p, char_dict_path: p}\n")
+    dictionary = spark.createDataFrame([(0, "a"), (1, "b")], "idx int, ch string")
+    asked = spark.createDataFrame(rows, "request_id int, body string")
+    got = {x.request_id: x for x in answer_ocr(asked, r, {"o": (map_detector, width_recognizer, dictionary)}).collect()}
+    assert [got[i].status for i in (1, 2, 3, 4)] == [200, 200, 400, 400]
+    line = {"line": "bb", "confidence": 0.625, "bbox": [4, 4, 13, 11]}
+    assert json.loads(got[1].body) == {"results": [[line], []]} and json.loads(got[2].body) == {"results": []}
+    kept = {x.request_id: x for x in answer_ocr(asked, r, {"o": (map_detector, width_recognizer, dictionary)}, keep_errors=True).collect()}
+    assert json.loads(kept[1].body) == {"results": [[line], [], []]}
+
+
 def test_failed_frames_vanish_or_stay(spark):
     rows = spark.createDataFrame([(1, 2, 0, 7, 0.5, 1, 2, 3, 4)], "request_id int, image_no int, rank int, class_id int, confidence float, x int, y int, w int, h int")
     frames = spark.createDataFrame([(1, 0, "kParameterError"), (1, 1, None), (1, 2, None)], "request_id int, image_no int, error_code string")
