@@ -1,50 +1,29 @@
-"""What the operators of this subpackage share: scratch folders, file access and shipping."""
+"""What the operators of this subpackage share: saved tables, shards, file access, word and window hashes, and bounded worker memory."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
-import tempfile
 import uuid
-import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+from lumenframe.cluster import scratch, ship  # noqa: F401  (for the operators beside this module)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder URI below ``spark.checkpoint.dir``, which driver and executors share.
+def packed(df: DataFrame, *keep: str) -> DataFrame:
+    """``df`` with the columns ``keep`` and all others in one struct, ``_lf_row``, so that no name can clash with an operator's own."""
+    rest = [c for c in df.columns if c not in keep]
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c in keep), F.struct(*(F.col(f"`{c}`") for c in rest) if rest else [F.lit(0).alias("none")]).alias("_lf_row"))
 
-    Only where the session has no such setting (plain local runs) a temporary folder is set up.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="lumenframe-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
-    if "://" not in base and not base.startswith("file:"):
-        base = "file://" + os.path.abspath(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def ship(spark: SparkSession) -> None:
-    """Make this package importable by the executors' Python, once per application."""
-    sc = spark.sparkContext
-    if getattr(sc, "_lumenframe_shipped", False):
-        return
-    path = os.path.join(tempfile.mkdtemp(prefix="lumenframe-"), "lumenframe.zip")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for top, _, names in os.walk(PACKAGE):
-            for n in sorted(names):
-                if n.endswith(".py"):
-                    full = os.path.join(top, n)
-                    z.write(full, os.path.relpath(full, os.path.dirname(PACKAGE)))
-    sc.addPyFile(path)
-    sc._lumenframe_shipped = True
+
+def unpacked(df: DataFrame, columns: list[str], *own: str) -> DataFrame:
+    """The columns that ``packed`` had, in their order; those of ``own`` are columns of ``df``, the others are in its struct."""
+    return df.select(*(F.col(f"`{c}`") if c in own else F.col("_lf_row")[c].alias(c) for c in columns))
 
 
 def small_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> None:
@@ -53,6 +32,51 @@ def small_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> No
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+_HELD: list[tuple] = []
+
+
+def give_back() -> None:
+    """Hand memory that this worker's allocators keep for later back to the system."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def held(key: tuple, make: Callable):
+    """What a worker keeps from task to task: one object, so that an operator finds the memory of the one before it free."""
+    if not _HELD or _HELD[0] != key:
+        _HELD.clear()
+        give_back()
+        _HELD[:] = [key, make()]
+    return _HELD[1]
+
+
+def lean(run: Callable, keep: bool = False) -> Callable:
+    """A function for mapInArrow whose worker begins without other operators' memory and ends with its own handed back."""
+
+    def bounded(batches: Iterator) -> Iterator:
+        if not keep:
+            _HELD.clear()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return bounded
+
+
+def busiest(uses: np.ndarray, most: int) -> np.ndarray:
+    """Codes that were used more than once, in ascending order; of more than ``most`` those used most."""
+    codes = np.flatnonzero(uses > 1)
+    if len(codes) > most:
+        codes = np.sort(codes[np.argsort(-uses[codes], kind="stable")[:most]])
+    return codes
+
+
 def open_fs(uri: str):
     """pyarrow file system and path of a URI (file, hdfs, s3, gs: whatever pyarrow speaks)."""
     from pyarrow import fs
@@ -88,51 +112,48 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def shard_ranges(df: DataFrame, key: str, weight: Column, target: int, cells: int = 2048) -> list[tuple[int, int, int]]:
-    """Contiguous, disjoint ``(shard, lo, hi)`` ranges of an integer key with about ``target`` weight each.
+def clamp(value: int, low: int, high: int) -> int:
+    return max(low, min(high, value))
+
 
-    The key's span is cut into equal cells whose weights Spark sums (at most ``cells`` rows reach the
-    driver); a cell over the target is cut again until one key is left. The ranges depend on
-    the rows alone, so any retry or rerun gives the same shards. Null keys belong to the first shard.
+def shard_starts(df: DataFrame, key: str, weight: Column, target: Callable[[int], int]) -> tuple[list[int], int]:
+    """Ascending first keys of contiguous shards of an integer key, and the total weight; ``target`` gives a shard's weight from the total.
+
+    One pass weighs the keys into a narrow table sorted by range; a running sum over it, with a base for each of its partitions, puts a key
+    into the shard in which its weight begins. So the number of jobs is the same for any weights and keys, one row for each partition
+    and one for each shard reach the driver, and the shards depend on the rows alone, so any retry or rerun gives the same. A key is never split.
+    Null keys belong to the first shard.
     """
-    w = weight.cast("double")
-    lo, hi = df.agg(F.min(key), F.max(key)).first()
-    if lo is None:
-        return [(0, -(2**63), 2**63 - 1)]
-    parts: list[tuple[int, int, float]] = []
-    todo = [(int(lo), int(hi))]
-    while todo:
-        a, b = todo.pop()
-        width = max(1, -(-(b - a + 1) // cells))
-        inside = df.where(F.col(key).between(a, b))
-        cell = F.floor((F.col(key).cast("decimal(38,0)") - F.lit(a).cast("decimal(38,0)")) / F.lit(width)).cast("long")
-        for c, s in sorted(inside.groupBy(cell.alias("c")).agg(F.sum(w).alias("s")).collect()):
-            x, y = a + c * width, min(b, a + c * width + width - 1)
-            if s > target and y > x:
-                todo.append((x, y))
-            else:
-                parts.append((x, y, s or 0.0))
-    cuts, total = [], 0.0
-    for x, _, s in sorted(parts):
-        if not cuts or total >= target:
-            cuts.append(x)
-            total = 0.0
-        total += s
-    ends = [c - 1 for c in cuts[1:]] + [2**63 - 1]
-    return [(i, -(2**63) if i == 0 else a, b) for i, (a, b) in enumerate(zip(cuts, ends, strict=True))]
-
-
-def shard_of(key: str, ranges: list[tuple[int, int, int]]) -> Column:
-    """Column with the shard of a key: a binary search over the starts, as nested conditions would grow too deep."""
-    starts = F.array(*[F.lit(a).cast("long") for _, a, _ in ranges])
-    if len(ranges) <= 64:
-        found = F.size(F.filter(starts, lambda s: s <= F.col(key))) - 1
-        return F.coalesce(F.greatest(found, F.lit(0)), F.lit(0)).cast("int")
-    blocks = [ranges[i : i + 64] for i in range(0, len(ranges), 64)]
-    out = F.lit(0)
-    for b in blocks:
-        out = F.when(F.col(key) >= F.lit(b[0][1]), F.lit(b[0][0]) + F.size(F.filter(F.array(*[F.lit(a).cast("long") for _, a, _ in b]), lambda s: s <= F.col(key))) - 1).otherwise(out)
-    return F.coalesce(out, F.lit(0)).cast("int")
+    spark = df.sparkSession
+    each = df.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("k")).agg(F.sum(weight.cast("long")).alias("w"))
+    table = saved(each.repartitionByRange("k").sortWithinPartitions("k").withColumn("part", F.spark_partition_id()), "weights")
+    parts = sorted((r["first"], r["part"], r["w"]) for r in table.groupBy("part").agg(F.min("k").alias("first"), F.sum("w").alias("w")).collect())
+    bases, total = [], 0
+    for _, part, w in parts:
+        bases.append((part, total))
+        total += w
+    if not parts:
+        return [-(2**63)], 0
+    before = F.coalesce(F.sum("w").over(Window.partitionBy("part").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    based = table.join(F.broadcast(spark.createDataFrame(bases, "part int, base long")), "part")
+    shard = F.floor((F.col("base") + before) / F.lit(max(1, target(total)))).alias("shard")
+    return sorted(r["first"] for r in based.select("k", shard).groupBy("shard").agg(F.min("k").alias("first")).collect()), total
+
+
+def shard_of(key: str, starts: list[int]) -> Column:
+    """Column with the shard of a key: a binary search over the starts, which are one constant array."""
+    if len(starts) == 1:
+        return F.lit(0)
+    array = F.split(F.lit(",".join(map(str, starts))), ",").cast("array<bigint>")
+    steps = F.sequence(F.lit(1), F.lit((len(starts) - 1).bit_length()))
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.shiftright(acc["lo"] + acc["hi"] + 1, 1)
+        right = F.get(array, middle) <= F.col(key)
+        return F.struct(F.when(right, middle).otherwise(acc["lo"]).alias("lo"), F.when(right, acc["hi"]).otherwise(F.greatest(acc["lo"], middle - 1)).alias("hi"))
+
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(starts) - 1).alias("hi")), halve, lambda acc: acc["lo"])
+    return F.when(F.col(key).isNull(), F.lit(0)).otherwise(found).cast("int")
 
 
 def by_shard(df: DataFrame, shard: str, n: int, *order: str) -> DataFrame:
@@ -197,9 +218,6 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-_TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-
-
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.empty(max(1, n), np.uint64)
     out[0] = 1
@@ -224,8 +242,8 @@ def powers(base: int, n: int) -> np.ndarray:
     return _POWERS[base][:n]
 
 
-BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
-INVERSE = {b: pow(b, -1, 2**64) for b in (BASE, WORD_BASE)}
+WORD_BASE = 0xD1342543DE82EF95
+INVERSE = {WORD_BASE: pow(WORD_BASE, -1, 2**64)}
 
 
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
@@ -240,7 +258,60 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hashes(_TABLE[data], starts, ends, BASE)
+    """64-bit keyed hashes (SipHash) of the words that ``word_spans`` found, each distinct word hashed once.
+
+    No family of words collides by construction, as those of a polynomial modulo a power of two do.
+    """
+    import pyarrow as pa
+    from pandas.util import hash_array
+
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    lens = ends - starts
+    bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum(lens)])
+    letters = data[~_SPACE[data]]
+    words = pa.LargeStringArray.from_buffers(len(lens), pa.py_buffer(bounds), pa.py_buffer(letters)).dictionary_encode()
+    return hash_array(words.dictionary.to_numpy(zero_copy_only=False), categorize=False)[words.indices.to_numpy()]
+
+
+#: The Mersenne prime 2**61 - 1, and the base of the window hashes modulo it.
+PRIME, WINDOW_BASE = (1 << 61) - 1, 0x1B873593CC9E2D51 % ((1 << 61) - 1)
+
+
+def _times(a: np.ndarray, factor: int) -> np.ndarray:
+    """a * factor modulo PRIME, for a below PRIME, in 64-bit arithmetic on halves of 30 and 31 bits."""
+    high, low = np.uint64(factor >> 31), np.uint64(factor & 0x7FFFFFFF)
+    a_high, a_low = a >> np.uint64(31), a & np.uint64(0x7FFFFFFF)
+    middle = a_high * low + a_low * high
+    total = (a_high * high) * np.uint64(2) + (middle >> np.uint64(30)) + ((middle & np.uint64(0x3FFFFFFF)) << np.uint64(31)) + a_low * low
+    total = (total & np.uint64(PRIME)) + (total >> np.uint64(61))
+    return np.where(total >= PRIME, total - np.uint64(PRIME), total)
+
+
+def rolling_hashes(values: np.ndarray, window: int, base: int = WINDOW_BASE) -> np.ndarray:
+    """Rabin-Karp hashes modulo PRIME of all windows of ``window`` values; windows double in length, log(window) steps in all.
+
+    Of n values there are n - window + 1 hashes; two different windows agree with a chance of about window * 2**-61.
+    """
+    n = len(values) - window + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    whole = values % np.uint64(PRIME)  # hashes of windows of ``size``
+    out: np.ndarray | None = None
+    size, done = 1, 0
+
+    def join(left: np.ndarray, right: np.ndarray, factor: int) -> np.ndarray:
+        total = _times(left, factor) + right
+        return np.where(total >= PRIME, total - np.uint64(PRIME), total)
+
+    while True:
+        if window & size:
+            out = whole if out is None else join(whole[: len(out) - size], out[size:], pow(base, done, PRIME))
+            done += size
+        if done == window:
+            return out[:n]
+        whole = join(whole[:-size], whole[size:], pow(base, size, PRIME))
+        size *= 2
 
 
 def pieces(column, limit: int = 1 << 21) -> Iterator[tuple[int, int]]:

@@ -13,7 +13,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Large star: each node links its larger neighbours to its smallest one. Small star: each node links its
     smaller neighbours and itself to the smallest. Rounds go on until the forest of stars stands still,
-    logarithmically many in the length of the longest path. Each round's edges are a saved table.
+    logarithmically many in the length of the longest path. Each round's edges are a saved table. Beyond ``most_rounds`` it raises.
     """
     u, v = F.col("u"), F.col("v")
     now = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where(u != v).distinct(), "edges")
@@ -29,5 +29,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if seen == mark:
             break
         mark = seen
+    else:
+        raise RuntimeError(f"components are not settled after {most_rounds} rounds")
     stars = now.select(u.alias("node"), v.alias("component"))
     return stars.unionByName(now.select(v.alias("node"), v.alias("component")).distinct())

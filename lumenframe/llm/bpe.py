@@ -18,7 +18,7 @@ from codecs import charmap_decode
 import numpy as np
 import pyarrow as pa
 
-from lumenframe.llm._common import concat_ranges, text_bytes, word_spans
+from lumenframe.llm._common import busiest, concat_ranges, held, text_bytes, word_spans
 
 #: Byte -> character of a byte-level vocabulary: printable bytes stand for themselves, the others
 #: follow in order from 256.
@@ -29,9 +29,9 @@ _MARKS = frozenset(".,;:!?")
 
 
 class BpeEncoder:
-    """Encode batches of texts; the memory of chunks is bounded by ``max_words`` and starts afresh when full."""
+    """Encode batches of texts. The memory of chunks holds ``max_words`` and those of one batch; when it is full, chunks used once are forgotten."""
 
-    def __init__(self, vocabulary: str, end_id: int = 0, max_words: int = 1_000_000):
+    def __init__(self, vocabulary: str, end_id: int = 0, max_words: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
@@ -52,6 +52,23 @@ class BpeEncoder:
         self.flat = array("I", [self.end_id])  # code 0 is the end of a document
         self.ends = array("q", [1])
         self.odd: set[int] = set()
+        self.uses = np.zeros(1, np.int64)
+
+    def _shed(self) -> None:
+        """Keep the chunks used more than once, at most half of ``max_words``, and forget the others."""
+        stay = busiest(self.uses[: len(self.ends)], self.max_words // 2)
+        stay = stay[stay > 0]
+        codes, flat, ends, odd, uses = self.codes, np.frombuffer(self.flat, np.uint32), np.frombuffer(self.ends, np.int64), self.odd, self.uses
+        self._reset()
+        new = np.zeros(len(ends), np.int64)
+        new[stay] = np.arange(1, len(stay) + 1)
+        lens = ends[stay] - ends[stay - 1]
+        self.flat.frombytes(flat[concat_ranges(ends[stay] - lens, lens)].tobytes())
+        self.ends.frombytes((1 + np.cumsum(lens)).tobytes())
+        self.uses = np.concatenate([np.zeros(1, np.int64), uses[stay] // 2])
+        self.odd = {int(new[k]) for k in odd if new[k]}
+        to = new.tolist()
+        self.codes = {c: to[k] for c, k in codes.items() if to[k]}
 
     def _unit(self, text: str) -> list[int]:
         """Ids of one unit of the pattern, by the library's model."""
@@ -92,7 +109,7 @@ class BpeEncoder:
         if not self.by_chunk:
             return self._all_whole(data, offsets)
         if len(self.codes) > self.max_words:
-            self._reset()
+            self._shed()
         _, word_ends, _ = word_spans(data, offsets)
         # a chunk ends with its word; white space behind the last word of a text is a chunk too
         at = np.searchsorted(word_ends, offsets[1:], side="right") - 1
@@ -112,6 +129,9 @@ class BpeEncoder:
             if collecting:
                 gc.enable()
         code = table[coded.indices.to_numpy()] if len(cuts) else np.zeros(0, np.int64)
+        used = np.bincount(code, minlength=len(self.ends))
+        used[: len(self.uses)] += self.uses
+        self.uses = used
         upto = np.searchsorted(cuts, offsets[1:], side="right")  # chunks up to the end of each text
         odd = self._rows_with_odd(code, upto)
         code = np.insert(code, upto, 0)
@@ -141,12 +161,6 @@ class BpeEncoder:
         return np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
 
 
-_ENCODERS: dict[tuple, BpeEncoder] = {}
-
-
 def encoder(vocabulary: str, end_id: int) -> BpeEncoder:
     """This worker's encoder: its memory of chunks outlives a task."""
-    key = (zlib.crc32(vocabulary.encode()), end_id)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = BpeEncoder(vocabulary, end_id)
-    return _ENCODERS[key]
+    return held(("bpe", zlib.crc32(vocabulary.encode()), end_id), lambda: BpeEncoder(vocabulary, end_id))

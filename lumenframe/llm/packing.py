@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm._common import pieces, saved, ship, small_batches
+from lumenframe.llm._common import lean, pieces, saved, ship, small_batches
 from lumenframe.llm.bpe import encoder
 
 
@@ -162,7 +162,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, *, size: int = 2048, end_id:
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(lean(cut, keep=True), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(parts: DataFrame, *, size: int = 2048, per_group: int = 2_000) -> DataFrame:

@@ -15,7 +15,8 @@ A rank is an id's place in the table, so frequent ids take one byte. ``read_toke
 by table lookup: a control byte gives four lengths and offsets at once.
 
 Nulls and empties: a null text is the empty text and holds the end id alone; null ids sort first.
-Repeated rows are kept, each with its own place. An empty table gives no files. Other columns are not read.
+Repeated rows are kept, each with its own place. An empty table gives no files. Texts are encoded whole; ties of
+id go by text. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm._common import by_shard, open_fs, pieces, read_all, saved, scratch, shard_of, shard_ranges, ship, small_batches, write_committed
+from lumenframe.llm._common import by_shard, clamp, lean, open_fs, pieces, read_all, saved, scratch, shard_of, shard_starts, ship, small_batches, write_committed
 from lumenframe.llm.bpe import encoder
 
 MAGIC = b"LFTOK\x00\x00\x01"
@@ -74,16 +75,31 @@ def unpack_values(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def encode_file(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
-    freq = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
+def encode_file(doc_ids: list[int | None], counts: np.ndarray, ids: list[np.ndarray]) -> bytes:
+    """A file's bytes; the ids may come in several arrays, which are not joined."""
+    freq = np.zeros(1 + max((int(x.max()) for x in ids if len(x)), default=-1), np.int64)
+    for x in ids:
+        freq += np.bincount(x, minlength=len(freq))
     table = np.lexsort((np.arange(len(freq)), -freq))[: int((freq > 0).sum())].astype("<u4")
     rank = np.zeros(len(freq), np.uint32)
     rank[table] = np.arange(len(table), dtype=np.uint32)
-    control, data = pack_values(rank[ids])
-    header = json.dumps({"documents": len(doc_ids), "tokens": len(ids), "ranks": len(table), "control": len(control), "data": len(data)}).encode()
+    control, data, tokens = [], [], 0
+    rest = np.zeros(0, np.uint32)
+    for x in ids:  # four values share a control byte, so what is over goes with the next array
+        rest = np.concatenate([rest, rank[x]])
+        tokens += len(x)
+        whole = len(rest) // 4 * 4
+        for into, packed in zip((control, data), pack_values(rest[:whole]), strict=True):
+            into.append(packed)
+        rest = rest[whole:]
+    if len(rest) or not tokens:
+        for into, packed in zip((control, data), pack_values(rest), strict=True):
+            into.append(packed)
+    sizes = {"control": sum(map(len, control)), "data": sum(map(len, data))}
+    header = json.dumps({"documents": len(doc_ids), "tokens": tokens, "ranks": len(table), **sizes}).encode()
     null = bytes(d is None for d in doc_ids)
     keys = np.array([0 if d is None else d for d in doc_ids], "<i8")
-    return b"".join([MAGIC, len(header).to_bytes(8, "little"), header, keys.tobytes(), null, counts.astype("<i8").tobytes(), table.tobytes(), control, data])
+    return b"".join([MAGIC, len(header).to_bytes(8, "little"), header, keys.tobytes(), null, counts.astype("<i8").tobytes(), table.tobytes(), *control, *data])
 
 
 def decode_file(blob: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
@@ -107,19 +123,20 @@ def decode_file(blob: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 
 def write_token_files(
-    docs: DataFrame, vocabulary: str, path: str, *, end_id: int = 0, shard_bytes: int = 24 << 20, file_tokens: int = 16 << 20
+    docs: DataFrame, vocabulary: str, path: str, *, end_id: int = 0, shard_bytes: int | None = None, file_tokens: int | None = None
 ) -> DataFrame:
     """Write the files below ``path``; returns the manifest (shard, seq, file, documents, tokens, bytes), saved beside them.
 
-    A shard holds about ``shard_bytes`` of text, so a task's memory is bounded; a file is closed at
-    ``file_tokens`` ids. Names follow from shard and sequence alone and are taken by rename, so a retried
+    A shard holds about ``shard_bytes`` of text, and a file is closed at ``file_tokens`` ids, which bounds a task's memory. Unless they are given, a shard
+    has a 64th of all text, but 16 MiB at least and 1 GiB at most, and a file has 2 Mi ids at least and 32 Mi at most, an 8th of the shard's bytes between these. Names follow from shard and sequence alone and are taken by rename, so a retried
     task replaces its files with equal ones.
     """
     spark = docs.sparkSession
     ship(spark)
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    ranges = shard_ranges(rows, "doc_id", F.octet_length("text") + F.lit(64), shard_bytes)
+    starts, total = shard_starts(rows, "doc_id", F.octet_length("text") + F.lit(64), lambda n: shard_bytes or clamp(n // 64, 16 << 20, 1 << 30))
+    file_tokens = file_tokens or clamp((shard_bytes or clamp(total // 64, 16 << 20, 1 << 30)) // 8, 2 << 20, 32 << 20)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary, end_id)
@@ -130,7 +147,7 @@ def write_token_files(
 
         def close() -> pa.RecordBatch:
             n = np.concatenate(counts)
-            blob = encode_file(keys, n, np.concatenate(parts))
+            blob = encode_file(keys, n, parts)
             name = f"{path}/shard-{shard:06d}-{seq:04d}.tok"
             write_committed(name, blob)
             row = {"shard": [shard], "seq": [seq], "file": [name], "documents": [len(keys)], "tokens": [int(n.sum())], "bytes": [len(blob)]}
@@ -155,8 +172,8 @@ def write_token_files(
         if keys:
             yield close()
 
-    sharded = by_shard(rows.withColumn("shard", shard_of("doc_id", ranges)), "shard", len(ranges), "doc_id", "text")
-    written = sharded.mapInArrow(write, "shard int, seq int, file string, documents long, tokens long, bytes long")
+    sharded = by_shard(rows.withColumn("shard", shard_of("doc_id", starts)), "shard", len(starts), "doc_id", "text")
+    written = sharded.mapInArrow(lean(write, keep=True), "shard int, seq int, file string, documents long, tokens long, bytes long")
     return saved(written, "token-manifest")
 
 
@@ -192,7 +209,7 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, with_ids: bool =
                         names.append("ids")
                     yield pa.RecordBatch.from_arrays(out, names)
 
-    return tasks.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return tasks.mapInArrow(lean(read, keep=True), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def token_files_query(docs: DataFrame, vocabulary: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Deterministic sharded WARC files of pages, and their reader.
 
-Records are dealt to shards by exact ranges of page_id and sorted within them; a file is rolled when
-its compressed size reaches ``roll_bytes``. Of records with equal payloads the one with the largest
+Records are dealt to shards by exact ranges of page_id and sorted within them; a file is rolled as soon as
+its compressed size has reached ``roll_bytes``. Of records with equal payloads the one with the largest
 page_id is the response and the others are revisits that name it: an aggregate over digests finds the
 largest id, and these narrow decisions travel to the same shard as their page, so payloads are shuffled
 once. Headers and digests are made anew from the payload. Every record is a gzip member of its own without
@@ -12,7 +12,7 @@ tasks are retried.
 Nulls and empties: a null html is an empty payload; a null url leaves out the target; a null page_id
 sorts first, is written as ``null`` and never is what a revisit names. Repeated rows: the first in
 order is the response and the others revisit it. An empty table gives an empty manifest. Other columns are
-not written.
+not read, whatever their names. Payloads are written whole, however long.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm._common import by_shard, read_all, saved, scratch, shard_of, shard_ranges, ship, small_batches, write_committed
+from lumenframe.llm._common import by_shard, clamp, lean, read_all, saved, scratch, shard_of, shard_starts, ship, small_batches, write_committed
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = pa.schema([("shard", pa.int32()), ("seq", pa.int32()), ("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
@@ -63,14 +63,19 @@ def page_record(page_id: int | None, nth: int, url: str | None, payload: bytes,
 
 
 def write_warc(
-    pages: DataFrame, path: str, *, roll_bytes: int = 16 << 20, shard_bytes: int = 12 << 20, revisit_from: int = 0, level: int = 6, date: str = "2000-01-01T00:00:00Z"
+    pages: DataFrame, path: str, *, roll_bytes: int | None = None, shard_bytes: int | None = None, revisit_from: int = 0, level: int = 6, date: str = "2000-01-01T00:00:00Z"
 ) -> DataFrame:
-    """Write (page_id, url, html) below ``path``; returns the saved manifest."""
+    """Write (page_id, url, html) below ``path``; returns the saved manifest.
+
+    Unless they are given, a shard has a 64th of all payload bytes, but 12 MiB at least and 1 GiB at most, and a file is rolled at a 16th
+    of that, compressed: so files are rolled within shards at any size, and grow to 64 MiB.
+    """
     ship(pages.sparkSession)
     small_batches(pages.sparkSession, rows=500)
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html")).withColumn("digest", F.sha1("html"))
-    ranges = shard_ranges(rows, "page_id", F.octet_length("html") + F.lit(256), shard_bytes)
+    starts, total = shard_starts(rows, "page_id", F.octet_length("html") + F.lit(256), lambda n: shard_bytes or clamp(n // 64, 12 << 20, 1 << 30))
+    roll_bytes = roll_bytes or (shard_bytes or clamp(total // 64, 12 << 20, 1 << 30)) // 16
     keys = rows.where(F.octet_length("html") >= revisit_from).select("page_id", "digest")
     groups = keys.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1 AND keeper IS NOT NULL").drop("n")
     decided = keys.join(groups, "digest").select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("html"), "digest", "keeper")
@@ -120,8 +125,8 @@ def write_warc(
         if records:
             yield close()
 
-    sharded = by_shard(both.withColumn("shard", shard_of("page_id", ranges)), "shard", len(ranges), "page_id", "digest", "is_page", "url")
-    return saved(sharded.mapInArrow(write, "shard int, seq int, file string, records long, bytes long, sha256 string"), "warc-manifest")
+    sharded = by_shard(both.withColumn("shard", shard_of("page_id", starts)), "shard", len(starts), "page_id", "digest", "is_page", "url")
+    return saved(sharded.mapInArrow(lean(write), "shard int, seq int, file string, records long, bytes long, sha256 string"), "warc-manifest")
 
 
 def members(blob: bytes, step: int = 1 << 16) -> Iterator[bytes]:
@@ -189,7 +194,7 @@ def read_warc(spark: SparkSession, manifest: DataFrame, with_payload: bool = Fal
                 n = 6 if with_payload else 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows[:n], kinds[:n], strict=True)], names[:n])
 
-    return tasks.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload)
+    return tasks.mapInArrow(lean(read), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload)
 
 
 def warc_query(pages: DataFrame) -> DataFrame:
