@@ -8,7 +8,8 @@ The model is learned from labelled rows: trigram counts per language in ``bucket
 letters per language and script. It is fitted on a sample of about ``sample_rows`` labelled documents, or ``least_rows`` of each
 language if that is more: languages are counted over all rows, have equal shares, and one with fewer rows than its share is taken whole.
 Rows are chosen by a hash of id and text, so the choice does not depend on partitioning, and each language's smallest hash
-is in. The model's size is bounded by languages times buckets.
+is in, so no language's sample is empty at any size. The model's size is bounded by ``most_languages`` (the most frequent
+labels; labels beyond are not learned) times buckets. Letters are the characters of Unicode's category L; marks behind one belong to its word.
 
 The stage drops documents without letters, and those wholly in scripts that no labelled row uses; these scripts
 are looked up in all labelled rows, not in the sample. Where nothing is labelled all documents with letters stay.
@@ -16,22 +17,24 @@ are looked up in all labelled rows, not in the sample. Where nothing is labelled
 Nulls and empties: a null text, or one without letters, is ``und`` with score 0 and no spans. A text whose
 letters are all of scripts that no learned language uses gets the first language with score 0. Null ids
 are allowed; repeated rows each get their label. An empty or unlabelled table teaches nothing: then
-every document is ``und``. Texts are read whole. Other columns pass through.
+every document is ``und``. Texts are read whole. Other columns pass through, whatever their names;
+``label_documents`` replaces columns that have the names it adds.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenframe.llm._common import pieces, ship, small_batches, text_bytes, word_spans
+from lumenframe.llm._common import busiest, lean, packed, pieces, ship, small_batches, text_bytes, unpacked, word_spans
 
 # First and last code point of the blocks of common scripts.
 SCRIPTS = [
@@ -41,9 +44,10 @@ SCRIPTS = [
     ("hangul", 0xAC00, 0xD7AF),
 ]
 NAMES = [*dict.fromkeys(n for n, _, _ in SCRIPTS), "other"]
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
+@cache
 def script_of(ch: str) -> int:
     c = ord(ch)
     return next((NAMES.index(n) for n, a, b in SCRIPTS if a <= c <= b), len(NAMES) - 1)
@@ -64,7 +68,8 @@ def trigrams(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunk_words(chunk: str) -> list[str]:
-    return _LETTERS.findall(chunk.lower())
+    word = chunk.strip().lower()
+    return [word] if word.isalpha() else _LETTERS.findall(word)
 
 
 def chunks_of(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -101,20 +106,21 @@ def fair_share(counts: list[int], total: int, least: int) -> int:
     return max(share, least)
 
 
-def fit(labelled: DataFrame, *, sample_rows: int = 20_000, least_rows: int = 1_000, buckets: int = 1 << 16, smoothing: float = 0.1) -> Model:
+def fit(labelled: DataFrame, *, sample_rows: int = 20_000, least_rows: int = 1_000, buckets: int = 1 << 16, smoothing: float = 0.1, most_languages: int = 256) -> Model:
     """Learn from rows (doc_id, text, lang); rows with null text or lang teach nothing."""
     spark = labelled.sparkSession
     ship(spark)
     small_batches(spark)
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    n_of = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row for each language
-    if sum(n_of.values()) > sample_rows:
-        most = fair_share(list(n_of.values()), sample_rows, least_rows)
-        large = [(lang, int(most / n * 1_000_000)) for lang, n in n_of.items() if n > most]
-        h = F.xxhash64("doc_id", "text", F.lit("language sample"))
-        shares = F.broadcast(rows.sparkSession.createDataFrame(large, "lang string, share long"))
-        firsts = F.broadcast(rows.join(shares, "lang").groupBy("lang").agg(F.min(h).alias("first")))
-        rows = rows.join(shares, "lang", "left").join(firsts, "lang", "left").where(F.col("share").isNull() | (F.pmod(h, F.lit(1_000_000)) < F.col("share")) | (h == F.col("first"))).select("doc_id", "text", "lang")
+    ranked = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
+    n_of = {r["lang"]: r["n"] for r in ranked.collect()}
+    most = fair_share(list(n_of.values()), sample_rows, least_rows) if sum(n_of.values()) > sample_rows else sample_rows
+    h = F.xxhash64("doc_id", "text", F.lit("language sample"))
+    place = F.shiftrightunsigned(h, 11) * F.lit(2.0**-53)  # even in [0, 1), in steps far below any share
+    shares = F.broadcast(spark.createDataFrame([(lang, min(1.0, most / n)) for lang, n in n_of.items()], "lang string, share double"))
+    known = rows.join(shares, "lang")
+    firsts = F.broadcast(known.groupBy("lang").agg(F.min(h).alias("first")))
+    rows = known.join(firsts, "lang").where((place < F.col("share")) | (h == F.col("first"))).select("doc_id", "text", "lang")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams: dict[str, np.ndarray] = {}
@@ -144,7 +150,7 @@ def fit(labelled: DataFrame, *, sample_rows: int = 20_000, least_rows: int = 1_0
                 yield pa.RecordBatch.from_pydict({"kind": [kind] * len(at), "lang": [lang] * len(at), "key": at.astype(np.int32), "n": v[at].astype(np.int64)})
 
     # at most languages x (buckets + scripts) rows reach the driver
-    counts = rows.mapInArrow(tally, "kind string, lang string, key int, n long").groupBy("kind", "lang", "key").agg(F.sum("n").alias("n")).toArrow()
+    counts = rows.mapInArrow(lean(tally), "kind string, lang string, key int, n long").groupBy("kind", "lang", "key").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(counts.column("lang").to_pylist()))
     index = {x: i for i, x in enumerate(langs)}
     grams, letters = np.zeros((buckets, len(langs))), np.zeros((len(NAMES), len(langs)))
@@ -160,38 +166,50 @@ def fit(labelled: DataFrame, *, sample_rows: int = 20_000, least_rows: int = 1_0
 
 
 class Scorer:
-    """Scores and letters of words, remembered up to ``max_words``."""
+    """Scores and letters of words. It remembers ``max_words`` and those of one batch; when it is full, words met once are forgotten."""
 
-    def __init__(self, model: Model, max_words: int = 1_000_000, cap: float = 12.0):
+    def __init__(self, model: Model, max_words: int = 400_000, cap: float = 12.0):
         self.model, self.max_words, self.cap = model, max_words, cap
-        self._reset()
-
-    def _reset(self) -> None:
         self.codes: dict[str, int] = {}
-        self.scores = np.zeros((1 << 12, len(self.model.languages)), np.float32)
-        self.letters = np.zeros(1 << 12, np.int32)
-        self.known = np.zeros(1 << 12, np.int32)  # letters of words whose script some language uses
-
-    def lookup(self, distinct: list[str]) -> np.ndarray:
+        self._tables(0)
+
+    def _tables(self, n: int) -> None:
+        self.scores = np.zeros((n, len(self.model.languages)), np.float32)
+        self.letters = np.zeros(n, np.int32)
+        self.known = np.zeros(n, np.int32)  # letters of words whose script some language uses
+        self.uses = np.zeros(n, np.int64)
+
+    def _shed(self) -> None:
+        stay = busiest(self.uses, self.max_words // 2)
+        new = np.full(len(self.uses), -1)
+        new[stay] = np.arange(len(stay))
+        to = new.tolist()
+        self.codes = {w: to[k] for w, k in self.codes.items() if to[k] >= 0}
+        self.scores, self.letters, self.known, self.uses = self.scores[stay], self.letters[stay], self.known[stay], self.uses[stay] // 2
+
+    def lookup(self, distinct: list[str], times: np.ndarray) -> np.ndarray:
+        """Codes of distinct words that occur so many times; they hold until the next call."""
         if len(self.codes) > self.max_words:
-            self._reset()
+            self._shed()
         found = list(map(self.codes.get, distinct))
         fresh = [i for i, k in enumerate(found) if k is None]
         if fresh:
-            first = len(self.codes)
-            while first + len(fresh) > len(self.scores):
-                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-                self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-                self.known = np.concatenate([self.known, np.zeros_like(self.known)])
+            first, old = len(self.codes), (self.scores, self.letters, self.known, self.uses)
+            if first + len(fresh) > len(self.scores):
+                self._tables(max(first + len(fresh), min(2 * len(self.scores), self.max_words)))
+                for into, x in zip((self.scores, self.letters, self.known, self.uses), old, strict=True):
+                    into[: len(x)] = x
             words, owner = [], []
             for j, i in enumerate(fresh):
                 self.codes[distinct[i]] = found[i] = first + j
                 for w in chunk_words(distinct[i]):
                     words.append(w)
                     owner.append(first + j)
-            if words:
-                self._score(words, np.array(owner))
-        return np.array(found, np.int64)
+            for at in range(0, len(words), 1 << 16):
+                self._score(words[at : at + (1 << 16)], np.array(owner[at : at + (1 << 16)]))
+        code = np.array(found, np.int64)
+        self.uses[code] += times
+        return code
 
     def _score(self, words: list[str], owner: np.ndarray) -> None:
         h, lens = trigrams(words, self.model.buckets)
@@ -242,51 +260,63 @@ def viterbi(scores: np.ndarray, code: np.ndarray, at: np.ndarray, penalty: float
     return label
 
 
+def label_texts(column: pa.Array, scorer: Scorer | None, penalty: float, spans: bool) -> tuple:
+    """Language and score of each text and, if asked for, its spans: offsets by text, first and end bytes, languages."""
+    n = len(column)
+    pred, score = np.full(n, "und", object), np.zeros(n)
+    none = (np.zeros(n + 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, object))
+    if scorer is None:
+        return pred, score, none
+    langs = np.array(scorer.model.languages, object)
+    distinct, index, at, starts, ends = chunks_of(column)
+    if not distinct:
+        return pred, score, none
+    code = scorer.lookup(distinct, np.bincount(index, minlength=len(distinct)))[index]
+    state = viterbi(scorer.scores, code, at, penalty)
+    doc = np.repeat(np.arange(n), np.diff(at))
+    share = np.bincount(doc * len(langs) + state, scorer.known[code], minlength=n * len(langs)).reshape(n, -1)
+    total = np.bincount(doc, scorer.letters[code], minlength=n)
+    best, lettered = share.argmax(1), total > 0
+    pred[lettered] = langs[best[lettered]]
+    score[lettered] = np.minimum(share[lettered, best[lettered]] / total[lettered], 1.0)
+    if not spans:
+        return pred, score, none
+    new = np.ones(len(state), bool)
+    new[1:] = (state[1:] != state[:-1]) | (doc[1:] != doc[:-1])
+    cut = np.flatnonzero(new)
+    last = np.concatenate([cut[1:], [len(state)]]) - 1
+    keep = lettered[doc[cut]]
+    cut, last = cut[keep], last[keep]
+    _, offsets = text_bytes(column)
+    of = doc[cut]
+    return pred, score, (np.searchsorted(of, np.arange(n + 1)), starts[cut] - offsets[of], ends[last] - offsets[of], langs[state[cut]])
+
+
 def label_documents(docs: DataFrame, model: Model, *, penalty: float = 8.0, spans: bool = False) -> DataFrame:
     """``docs`` with _lf_lang, _lf_score and, if asked for, _lf_spans (first byte, end byte, language of each span of words)."""
+    docs = docs.drop("_lf_lang", "_lf_score", "_lf_spans")
     ship(docs.sparkSession)
-    small_batches(docs.sparkSession, rows=4000, size="16m")
-    scorers: list[Scorer] = []
+    small_batches(docs.sparkSession, rows=4000)
+    span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs = model.languages
-        if not scorers and langs:
-            scorers.append(Scorer(model))
+        scorer = Scorer(model) if model.languages else None
         for batch in batches:
-            n = len(batch)
-            pred, score, marked = ["und"] * n, np.zeros(n), [[] for _ in range(n)]
-            if langs:
-                distinct, index, at, starts, ends = chunks_of(batch.column("text"))
-                if distinct:
-                    code = scorers[0].lookup(distinct)[index]
-                    _, offsets = text_bytes(batch.column("text"))
-                    state = viterbi(scorers[0].scores, code, at, penalty)
-                    letters = scorers[0].letters[code].astype(np.float64)
-                    informed = scorers[0].known[code].astype(np.float64)
-                    doc = np.repeat(np.arange(n), np.diff(at))
-                    share = np.bincount(doc * len(langs) + state, informed, minlength=n * len(langs)).reshape(n, -1)
-                    total = np.bincount(doc, letters, minlength=n)
-                    best = share.argmax(1)
-                    score = np.where(total > 0, share[np.arange(n), best] / np.maximum(total, 1), 0.0)
-                    pred = [langs[b] if t > 0 else "und" for b, t in zip(best, total, strict=True)]
-                    if spans:
-                        cut = np.flatnonzero((np.diff(state, prepend=255) != 0) | (np.diff(doc, prepend=-1) != 0))
-                        last = np.concatenate([cut[1:], [len(state)]]) - 1
-                        for a, b in zip(cut, last, strict=True):
-                            d = doc[a]
-                            if total[d] > 0:
-                                marked[d].append({"start": int(starts[a] - offsets[d]), "end": int(ends[b] - offsets[d]), "lang": langs[state[a]]})
-            out = [*batch.columns, pa.array(pred, pa.string()), pa.array(np.minimum(score, 1.0))]
-            names = [*batch.schema.names, "_lf_lang", "_lf_score"]
-            if spans:
-                out.append(pa.array(marked, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))))
-                names.append("_lf_spans")
-            yield pa.RecordBatch.from_arrays(out, names)
+            for x, y in pieces(batch.column("text"), 4 << 20):
+                some = batch.slice(x, y - x)
+                found = label_texts(some.column("text"), scorer, penalty, spans)
+                out = [*some.columns, pa.array(found[0], pa.string()), pa.array(found[1])]
+                names = [*batch.schema.names, "_lf_lang", "_lf_score"]
+                if spans:
+                    at, start, end, lang = found[2]
+                    out.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(lang, pa.string())], fields=list(span))))
+                    names.append("_lf_spans")
+                yield pa.RecordBatch.from_arrays(out, names)
 
     fields = [*docs.schema.fields, T.StructField("_lf_lang", T.StringType()), T.StructField("_lf_score", T.DoubleType())]
     if spans:
         fields.append(T.StructField("_lf_spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("lang", T.StringType())]))))
-    return docs.mapInArrow(label, T.StructType(fields))
+    return docs.mapInArrow(lean(label), T.StructType(fields))
 
 
 def labelled_scripts(docs: DataFrame) -> list[str]:
@@ -300,10 +330,10 @@ def labelled_scripts(docs: DataFrame) -> list[str]:
         for batch in batches:
             data, _ = text_bytes(batch.column("text"))
             seen.update(data[data >= 0x80].tobytes().decode("utf-8", "ignore"))  # what is not ASCII has no byte below 0x80
-        scripts = {NAMES[script_of(c)] for c in seen if _LETTERS.match(c)}
+        scripts = {NAMES[script_of(c)] for c in seen if _LETTERS.match(c)}  # no more than there are characters
         yield pa.RecordBatch.from_pydict({"script": pa.array(sorted(scripts), pa.string())})
 
-    wide = rows.where(F.length("text") != F.octet_length("text")).mapInArrow(found, "script string").distinct()
+    wide = rows.where(F.length("text") != F.octet_length("text")).mapInArrow(lean(found), "script string").distinct()
     names = {r["script"] for r in wide.collect()}
     if "latin" not in names and not rows.where(F.col("text").rlike("[A-Za-z]")).isEmpty():
         names.add("latin")
@@ -312,7 +342,7 @@ def labelled_scripts(docs: DataFrame) -> list[str]:
 
 def in_scripts(text: str, scripts: list[str] | None) -> Column:
     """Whether a text has a letter of one of the scripts, or any letter if there are none."""
-    letters = r"\p{L}\p{Nl}\p{No}"
+    letters = r"\p{L}"
     ranges = lambda some: "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for x, a, b in SCRIPTS if x in some)
     if not scripts:
         return F.coalesce(F.col(text).rlike(f"[{letters}]"), F.lit(False))
@@ -326,13 +356,16 @@ def is_held_out(doc_id: str = "doc_id") -> Column:
 
 
 def language_query(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, lang_pred, score and spans (first byte, end byte and language of each)."""
     model = fit(docs.where(~is_held_out()).select("doc_id", "text", "lang"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return label_documents(rows, model).select("doc_id", is_held_out().alias("held_out"), F.col("_lf_lang").alias("lang_pred"), F.col("_lf_score").alias("score"))
+    found = label_documents(rows, model, spans=True)
+    return found.select("doc_id", is_held_out().alias("held_out"), F.col("_lf_lang").alias("lang_pred"), F.col("_lf_score").alias("score"), F.col("_lf_spans").alias("spans"))
 
 
 def language_stage(docs: DataFrame) -> DataFrame:
     """Documents with a language: those without letters, or wholly in scripts that no labelled row uses, go."""
     model = fit(docs.where(~is_held_out()).select("doc_id", "text", "lang"))
     known = (F.col("_lf_lang") != "und") & (F.col("_lf_score") > 0)
-    return label_documents(docs, model).where(known | in_scripts("text", labelled_scripts(docs))).select(*docs.columns)
+    rows = label_documents(packed(docs, "doc_id", "text"), model)
+    return unpacked(rows.where(known | in_scripts("text", labelled_scripts(docs))), docs.columns, "doc_id", "text")
