@@ -8,14 +8,16 @@ score. Ties go to the hypothesis made first, which depends on the text alone.
 White space that no piece holds behind another character cuts the lattice of a text into a chain of the
 lattices of its chunks (white space and the word behind it). Each distinct chunk is searched once per
 worker, and the N best of the chain follow exactly: a path among the N best differs from the best one only by
-some of the N-1 cheapest single deviations. Where a vocabulary leaves no such white space, a text is one chunk.
+some of the N-1 cheapest single deviations. Where a vocabulary leaves no such white space, a text is one chunk. Chunks of more than 200 characters
+are cut further, between any two characters that no piece holds side by side, so texts without white space need no lattice of their whole length.
 
 Characters outside the vocabulary cost the lowest score less ten and become byte pieces. Decoding joins the
 pieces' bytes, turns space marks into spaces and drops the one put in front; so a text that
 itself holds U+2581 comes back with spaces there.
 
 Nulls and empties: null and empty texts have no pieces, score 0, and themselves as their only
-segmentation. Repeated rows and null ids are kept. Fewer than N segmentations: as many as there are.
+segmentation. Repeated rows and null ids are kept. Fewer than N segmentations: as many as there are. An empty table gives no rows;
+other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm._common import concat_ranges, pieces, ship, small_batches, text_bytes, word_spans
+from lumenframe.llm._common import concat_ranges, lean, pieces, ship, small_batches, text_bytes, word_spans
 
 MARK = "▁"
 
@@ -234,7 +236,27 @@ class Segmenter:
             names[c] = len(marked) + k
         marked += [MARK + marked[c] for c in names]
         code[first] = [names[c] for c in code[first].tolist()]
-        return marked, code, at
+        return self._cut_long(marked, code, at)
+
+    def _cut_long(self, marked: list[str], code: np.ndarray, at: np.ndarray, most: int = 200) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Chunks of more than ``most`` characters cut wherever no piece holds the two characters that meet: their lattices are chains too."""
+        long = [k for k in set(code.tolist()) if len(marked[k]) > most]
+        if not long:
+            return marked, code, at
+        parts: dict[int, np.ndarray] = {}
+        for k in long:
+            t = marked[k]
+            cuts = [0, *(i for i in range(1, len(t)) if t[i - 1 : i + 1] not in self.v.pairs), len(t)]
+            parts[k] = np.arange(len(marked), len(marked) + len(cuts) - 1)
+            marked += [t[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        count = np.ones(len(marked), np.int64)
+        count[long] = [len(parts[k]) for k in long]
+        lens = count[code]
+        ends = np.concatenate([[0], np.cumsum(lens)])
+        out = np.repeat(code, lens)
+        for i in np.flatnonzero(lens > 1).tolist():
+            out[ends[i] : ends[i + 1]] = parts[int(code[i])]
+        return marked, out, ends[at]
 
     def codes_of(self, distinct: list[str], used: np.ndarray) -> np.ndarray:
         if len(self.codes) > self.max_chunks:
@@ -248,10 +270,13 @@ class Segmenter:
         """Per text, its n best segmentations."""
         distinct, index, at = self.chunks(column)
         code = self.codes_of(distinct, index)[index] if len(index) else np.zeros(0, np.int64)
-        all_ends = np.concatenate([[0], np.array(self.ends, np.int64)])
-        lens = all_ends[code + 1] - all_ends[code]
-        ids = np.array(self.flat, np.int32)[concat_ranges(all_ends[code], lens)]
-        best, gaps = np.array(self.scores)[code], np.array(self.costs)[code]
+        if len(code):  # views of the growing arrays, gone before these grow again
+            last = np.frombuffer(self.ends, np.int64)[code]
+            first = np.where(code > 0, np.frombuffer(self.ends, np.int64)[code - 1], 0)
+            ids = np.frombuffer(self.flat, np.int32)[concat_ranges(first, last - first)] if self.flat else np.zeros(0, np.int32)
+            best, gaps, lens = np.frombuffer(self.scores)[code], np.frombuffer(self.costs)[code], last - first
+        else:
+            ids, best, gaps, lens = np.zeros(0, np.int32), np.zeros(0), np.zeros(0), np.zeros(0, np.int64)
         ends = np.concatenate([[0], np.cumsum(lens)])
         for a, b in zip(at.tolist(), at[1:].tolist(), strict=False):
             own = ids[ends[a] : ends[b]]
@@ -325,7 +350,7 @@ def encode_pieces(docs: DataFrame, v: Vocabulary, *, n: int = 4, with_ids: bool
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     kinds = "doc_id long, n_pieces int, ids_crc32 long, score double, decoded_sha256 string, nbest array<struct<score: double, n_pieces: int, ids_crc32: long>>"
-    return rows.mapInArrow(run, kinds + ", ids array<int>" * with_ids)
+    return rows.mapInArrow(lean(run), kinds + ", ids array<int>" * with_ids)
 
 
 def pieces_query(docs: DataFrame) -> DataFrame:
