@@ -18,7 +18,7 @@ Reverse neighbours used in the joins are the closest ``2 k`` of a node; this bou
 
 Nulls and empties: a vector that is null, empty, zero, or holds null or non-finite components links with nothing, and
 so does one without an id; vectors of different lengths do not link. Repeated rows link with each other.
-An empty table gives no rows. Labels and other columns are not read.
+An empty table gives no rows. Labels and other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -368,16 +368,15 @@ def _degrees(lists: DataFrame, nodes: DataFrame, k: int, threshold: float) -> tu
 
 
 def _audit(nodes: DataFrame, dense: DataFrame, degree: DataFrame, threshold: float, audit: int) -> float:
-    """Share of a node's true links that were found, on average over the nodes with links of a bounded set; the set travels with the tasks.
+    """Share of a node's true links that were found, on average over those with links among ``audit`` nodes; this set travels with the tasks.
 
-    Saturated nodes are left out: their links with one another are counted exactly and would hide what the search
-    missed. A pair that it missed has an end that is not saturated.
+    The nodes are those with the smallest hashes, as many at any size. Saturated nodes are left out: their links with one another are
+    counted exactly and would hide what the search missed. A pair that it missed has an end that is not saturated. Every link counted is
+    one that was verified, so counts compare as the links themselves would; and as found links are what makes components, a
+    share of links as large is within components.
     """
     open_ends = nodes.join(dense.select("id"), "id", "left_anti")
-    n = open_ends.count()
-    if not n:
-        return 1.0
-    some = open_ends.where(F.pmod(F.xxhash64("id", F.lit("audit")), F.lit(1_000_000)) < int(min(1.0, audit / n) * 1_000_000)).limit(4 * audit).select("id", "v").toArrow()
+    some = open_ends.orderBy(F.xxhash64("id", F.lit("audit")), "id").limit(audit).select("id", "v").toArrow()
     if not len(some):
         return 1.0
     ids, vs = some.column("id").to_numpy(), some.column("v").to_pylist()
