@@ -5,12 +5,13 @@ column; ``features`` reads such a column back. Samples are resampled by a polyph
 windowed-sinc low-pass split into phases, evaluated at the output rate only), cut into overlapped Hann
 frames and turned into log-mel energies. Frame energy with two thresholds (hysteresis) marks segments,
 and the whole clip, then each segment, becomes one fixed-shape tensor ``time_bins x mels`` of pooled log-mels, quantized to
-sixteenths, with its time span. ``tensor_array`` gives them as Arrow's fixed-shape tensor type and
-``write_tensors`` stores them in Arrow IPC files.
+sixteenths, with its time span. ``write_tensors`` stores them in Arrow IPC files, in columns of Arrow's fixed-shape tensor type
+beside their time spans, and ``read_tensors`` reads these files back; the query's features are those read back.
 
 Nulls and empties: a null payload is empty; padding makes every stored payload at least one unit
 long. A clip is padded with silence to one frame and whole hops behind it, so its last samples are in a frame. Silence has the whole clip alone. Every
-row is computed alone in fixed steps, so equal payloads give equal values. Other columns are not carried.
+row is computed alone in fixed steps, so equal payloads give equal values. Null ids and repeated rows are kept, each with its own result.
+An empty table gives no rows and no files. Texts are stored whole; a task holds one batch of clips. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm._common import saved, ship, small_batches, write_committed
+from lumenframe.llm._common import lean, read_all, saved, scratch, ship, small_batches, write_committed
 
 
 @dataclass(frozen=True)
 class Settings:
     rate: int = 16_000
-    up: int = 1
-    down: int = 2
+    up: int = 3
+    down: int = 4
     taps: int = 32
     frame: int = 256
     hop: int = 128
@@ -176,7 +177,7 @@ def store_wav(rows: DataFrame, *, unit: int = 192, pad: int = 32, rate: int = 16
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     raw = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
-    return saved(raw.mapInArrow(to_wav, "doc_id long, n_bytes long, media binary"), "wav")
+    return saved(raw.mapInArrow(lean(to_wav), "doc_id long, n_bytes long, media binary"), "wav")
 
 
 def features(media: DataFrame, settings: Settings | None = None) -> DataFrame:
@@ -193,7 +194,7 @@ def features(media: DataFrame, settings: Settings | None = None) -> DataFrame:
                 tensors.append(x.reshape(len(x), -1).tolist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(tensors, pa.list_(pa.list_(pa.int16())))], [*batch.schema.names, "spans", "tensors"])
 
-    return media.mapInArrow(run, "doc_id long, n_bytes long, media binary, spans array<array<long>>, tensors array<array<short>>")
+    return media.mapInArrow(lean(run), "doc_id long, n_bytes long, media binary, spans array<array<long>>, tensors array<array<short>>")
 
 
 def tensor_array(tensors: np.ndarray) -> pa.FixedShapeTensorArray:
@@ -201,58 +202,78 @@ def tensor_array(tensors: np.ndarray) -> pa.FixedShapeTensorArray:
     return pa.FixedShapeTensorArray.from_numpy_ndarray(np.ascontiguousarray(tensors))
 
 
-def tensor_table(doc_ids: list[int], spans: np.ndarray, tensors: np.ndarray) -> pa.Table:
-    return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "start_ms": spans[:, 0], "end_ms": spans[:, 1], "tensor": tensor_array(tensors)})
+CLIPS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+_CLIP = pa.struct([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string())])
 
 
 def write_tensors(media: DataFrame, path: str, settings: Settings | None = None) -> DataFrame:
-    """Arrow IPC files with one fixed-shape tensor and time span per segment; returns (file, segments). Retries replace files by rename."""
+    """Read stored WAV bytes and write Arrow IPC files with a row per segment: clip (its place in the file's list), start_ms, end_ms, tensor.
+
+    Returns the saved manifest (file, segments, clips: what was read of each clip, in order). Files are named by task and batch and taken by
+    rename, so a retried task replaces its files with equal ones.
+    """
     ship(media.sparkSession)
+    small_batches(media.sparkSession)
     s = settings or Settings()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         for k, batch in enumerate(batches):
-            ids, spans, tensors = [], [], []
-            for doc, blob in zip(batch.column("doc_id").to_pylist(), batch.column("media").to_pylist(), strict=True):
-                t, x = segment_tensors(wav_samples(blob)[0], s)
-                ids += [doc] * len(t)
+            if not len(batch):
+                continue
+            clips, of, spans, tensors = [], [], [], []
+            for i, (doc, n, blob) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media")), strict=True)):
+                samples, _ = wav_samples(blob)
+                t, x = segment_tensors(samples, s)
+                of += [i] * len(t)
                 spans.append(t)
                 tensors.append(x)
-            if not ids:
-                continue
-            table = tensor_table(ids, np.concatenate(spans), np.concatenate(tensors))
+                clips.append({"doc_id": doc, "n_bytes": n, "payload_bytes": len(samples), "payload_sha256": hashlib.sha256(samples).hexdigest(), "tail_crc32": zlib.crc32(samples[-16:]), "media_bytes": len(blob), "media_sha256": hashlib.sha256(blob).hexdigest()})
+            times = np.concatenate(spans)
+            table = pa.table({"clip": pa.array(of, pa.int32()), "start_ms": times[:, 0], "end_ms": times[:, 1], "tensor": tensor_array(np.concatenate(tensors))})
             sink = io.BytesIO()
             with pa.ipc.new_file(sink, table.schema) as f:
                 f.write_table(table)
             name = f"{path}/tensors-{TaskContext.get().partitionId():06d}-{k:05d}.arrow"
             write_committed(name, sink.getvalue())
-            yield pa.RecordBatch.from_pydict({"file": [name], "segments": [len(ids)]})
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(of)], pa.int64()), pa.array([clips], pa.list_(_CLIP))], ["file", "segments", "clips"])
 
-    return saved(media.mapInArrow(write, "file string, segments long"), "tensor-manifest")
+    return saved(media.select("doc_id", "n_bytes", "media").mapInArrow(lean(write), f"file string, segments long, clips array<struct<{CLIPS.replace(' ', ':').replace(',:', ',')}>>"), "tensor-manifest")
 
 
-def audio_query(docs: DataFrame) -> DataFrame:
-    """Store whole texts as WAV, read the bytes back and digest them and their tensors."""
-    media = store_wav(docs.select("doc_id", "text"))
-    s = Settings()
+def read_tensors(manifest: DataFrame) -> DataFrame:
+    """A row per clip of the manifest's files, read back: the clip's columns, spans array<array<long>>, tensors array<array<short>> and their shape."""
+    spark = manifest.sparkSession
+    ship(spark)
+    small_batches(spark, rows=16)
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
-            for blob in batch.column("media").to_pylist():
-                samples, rate = wav_samples(blob)
-                spans, tensors = segment_tensors(samples, s)
-                stored = tensor_array(tensors).storage.flatten().to_numpy() if len(tensors) else np.zeros(0, np.int16)
-                sha = hashlib.sha256(spans.tobytes() + stored.astype("<i2").tobytes()).hexdigest()[:16]
-                feature = f"rate={rate * s.up // s.down};segments={len(spans)};ms={int((spans[:, 1] - spans[:, 0]).sum())};shape={s.time_bins}x{s.mels};sha256={sha}"
-                row = (len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(blob), hashlib.sha256(blob).hexdigest(), feature)
-                for c, v in zip(out, row, strict=True):
-                    c.append(v)
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names)
-
-    kinds = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.mapInArrow(digest, kinds)
+            for name, segments, clips in zip(*(batch.column(c) for c in ("file", "segments", "clips")), strict=True):
+                table = pa.ipc.open_file(pa.BufferReader(read_all(name.as_py()))).read_all()
+                if len(table) != segments.as_py():
+                    raise ValueError(f"{name} is not the file of the manifest")
+                own = clips.values
+                shape = list(table.column("tensor").type.shape)
+                values = pa.concat_arrays([c.storage for c in table.column("tensor").chunks]).flatten()
+                at = np.searchsorted(table.column("clip").to_numpy(), np.arange(len(own) + 1)).astype(np.int32)
+                rows = np.arange(len(table) + 1, dtype=np.int32)
+                pairs = np.stack([table.column("start_ms").to_numpy(), table.column("end_ms").to_numpy()], 1).ravel()
+                spans = pa.ListArray.from_arrays(pa.array(at), pa.ListArray.from_arrays(pa.array(2 * rows), pa.array(pairs)))
+                tensors = pa.ListArray.from_arrays(pa.array(at), pa.ListArray.from_arrays(pa.array(int(np.prod(shape)) * rows), values))
+                yield pa.RecordBatch.from_arrays([*own.flatten(), spans, tensors, pa.array([shape] * len(own), pa.list_(pa.int32()))], [*(f.name for f in _CLIP), "spans", "tensors", "shape"])
+
+    tasks = manifest.repartition(max(1, min(spark.sparkContext.defaultParallelism * 4, 4096)), "file")
+    return tasks.mapInArrow(lean(read), f"{CLIPS}, spans array<array<long>>, tensors array<array<short>>, shape array<int>")
+
+
+def audio_query(docs: DataFrame) -> DataFrame:
+    """Store whole texts as WAV, read the bytes back, store their tensors with time spans, read these back and digest them."""
+    spark, s = docs.sparkSession, Settings()
+    manifest = write_tensors(store_wav(docs.select("doc_id", "text")), scratch(spark, "tensors"), s)
+    clips = read_tensors(manifest)
+    lengths = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x[1] - x[0])
+    digest = F.substring(F.sha2(F.concat_ws(";", F.transform("spans", lambda x: F.array_join(x, ",")), F.transform("tensors", lambda x: F.array_join(x, ","))).cast("binary"), 256), 1, 16)
+    feature = F.concat(F.lit(f"rate={s.rate * s.up // s.down};segments="), F.size("spans"), F.lit(";ms="), lengths, F.lit(";shape="), F.array_join("shape", "x"), F.lit(";sha256="), digest)
+    return clips.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))

@@ -62,7 +62,7 @@ def test_control_bytes_round_trip():
         control, data = token_files.pack_values(v)
         assert len(control) == -(-n // 4)
         assert (token_files.unpack_values(np.frombuffer(control, np.uint8), np.frombuffer(data, np.uint8), n) == v).all()
-    blob = token_files.encode_file([1, None], np.array([2, 1]), np.array([7, 7, 0], np.uint32))
+    blob = token_files.encode_file([1, None], np.array([2, 1]), [np.array([7], np.uint32), np.array([7, 0], np.uint32)])
     keys, counts, ids = token_files.decode_file(blob)
     assert keys == [1, None] and counts.tolist() == [2, 1] and ids.tolist() == [7, 7, 0]
     with pytest.raises(ValueError):
@@ -294,6 +294,16 @@ def test_long_text_without_spaces():
     assert len(got) == 3 and pieces.Segmenter(v, 1).decode(got[0][1]).decode() == t
 
 
+def test_long_chunks_are_cut_exactly():
+    v, rnd = pieces.Vocabulary.load(P.path("piece_bpe_32k.model")), random.Random(2)
+    for _ in range(6):
+        t = "".join(rnd.choice("abé漢字,;xq") for _ in range(260))
+        got = next(iter(pieces.Segmenter(v, 3).segment(pa.array([t]))))
+        whole = pieces.n_best(pieces.MARK + t, v, 3)
+        assert [s for s, _ in got] == pytest.approx([s for s, _ in whole]) and got[0][1].tolist() == whole[0][1]
+        assert max(len(c) for c in pieces.Segmenter(v, 3).chunks(pa.array([t]))[0][2:]) < 200
+
+
 def test_resampling_equals_direct_filtering():
     x = np.random.default_rng(0).normal(size=777)
     for up, down in ((1, 2), (2, 3), (3, 2), (1, 1), (160, 441)):
@@ -338,10 +348,59 @@ def test_audio(spark, docs):
         by_text.setdefault(r.payload_sha256, set()).add(r.feature)
     assert all(len(f) == 1 for f in by_text.values())
     media = audio.store_wav(docs)
-    files = audio.write_tensors(media, scratch(spark, "tensors")).collect()
+    manifest = audio.write_tensors(media, scratch(spark, "tensors"))
     n = 0
-    for f in files:
+    for f in manifest.collect():
         t = pa.ipc.open_file(pa.memory_map(f.file.removeprefix("file://"))).read_all()
         assert t.column("tensor").type.shape == [8, 24] and min(t.column("end_ms").to_pylist()) > 0
         n += len(t)
-    assert n == sum(f.segments for f in files) == sum(len(r.spans) for r in audio.features(media).collect())
+    direct = sorted((str(r.doc_id), r.spans, r.tensors) for r in audio.features(media).collect())
+    assert sorted((str(r.doc_id), r.spans, r.tensors) for r in audio.read_tensors(manifest).collect()) == direct
+    assert n == sum(len(x[1]) for x in direct)
+    assert audio.audio_query(docs.limit(0)).count() == 0
+
+
+def test_features_equal_brute_force():
+    s = audio.Settings()
+    assert s.up > 1 and np.gcd(s.up, s.down) == 1  # several phases
+    rnd = np.random.default_rng(3)
+    raw = np.concatenate([rnd.integers(120, 136, 3000), rnd.integers(0, 256, 2500), rnd.integers(126, 130, 2660)]).astype(np.uint8)
+    x = (raw - 128.0) / 128.0
+    x = audio.resample(x - x.mean(), s)  # held against direct filtering elsewhere
+    rate = s.rate * s.up / s.down
+    frames = []
+    at = 0
+    while at == 0 or at + s.frame - s.hop < len(x):
+        frames.append(np.concatenate([x[at : at + s.frame], np.zeros(max(0, at + s.frame - len(x)))]))
+        at += s.hop
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(s.frame) / s.frame)
+    hz = lambda m: 700.0 * (10.0 ** (m / 2595.0) - 1.0)
+    top = 2595.0 * np.log10(1.0 + rate / 2 / 700.0)
+    mels, energy = [], []
+    for f in frames:
+        f = f * hann
+        power = [abs(sum(f * np.exp(-2j * np.pi * b * np.arange(s.frame) / s.frame))) ** 2 for b in range(s.frame // 2 + 1)]
+        row = []
+        for k in range(s.mels):
+            lo, mid, hi = (hz(top * (k + j) / (s.mels + 1)) for j in range(3))
+            total = sum(p * max(0.0, min((b * rate / s.frame - lo) / (mid - lo), (hi - b * rate / s.frame) / (hi - mid))) for b, p in enumerate(power))
+            row.append(10 * np.log10(total + 1e-6))
+        mels.append(row)
+        energy.append(10 * np.log10((f * f).sum() + 1e-6))
+    e = np.round(energy, 2)
+    high, low = round(e.mean(), 2) + s.rise * round(e.std(), 2), round(e.mean(), 2) + s.fall * round(e.std(), 2)
+    spans, begin = [(0, len(e))], None
+    for i, v in enumerate([*e, -np.inf]):
+        if begin is None and v >= high:
+            begin = i
+        elif begin is not None and v < low:
+            if i - begin >= s.least_frames and e[begin] > -50:
+                spans.append((begin, i))
+            begin = None
+    want = []
+    for a, b in spans:
+        cuts = [a + k * (b - a) // s.time_bins for k in range(s.time_bins)] + [b]
+        want.append([[np.mean([mels[i][m] for i in range(c, max(c + 1, d))]) * 16 for m in range(s.mels)] for c, d in zip(cuts, cuts[1:])])
+    times, tensors = audio.segment_tensors(raw.tobytes(), s)
+    assert len(spans) > 1 and times.tolist() == [[round(a * s.hop * 1000 / rate), round(((b - 1) * s.hop + s.frame) * 1000 / rate)] for a, b in spans]
+    assert np.abs(tensors - np.array(want)).max() <= 1.0  # a sixteenth of a dB, in single precision
