@@ -5,30 +5,35 @@ A line goes if an equal line, or one within ``max_edits`` character edits, comes
 for equality and those of ``min_chars`` or more for edits: the query and the stage take every line that is not
 empty for the first, and ``min_equal`` is ``min_chars`` where it is not given. Shorter lines stay.
 
-Equal lines are found by an aggregate over line hashes. For the others every line is cut into ``max_edits + 1``
+Lines are cut and hashed once, into a table of places, hashes and segment keys. Equal lines are found by an aggregate over line hashes. For the others every line is cut into ``max_edits + 1``
 segments; of two lines within the limit one holds a segment of the other unchanged, and where it may
 stand follows from both lengths and the edits left on either side. So a line indexes its segments under
 (length, segment number, hash) and probes, for each length up to ``max_edits`` below its own, the
 substrings at the few positions allowed. Keys that a second line shares are found by an aggregate of (least,
 greatest) line hash; only their lines are joined, under a condition that character-class counts differ by no
-more than the edits allow, which keeps families of similar lines from being written out as pairs. What
-is left is verified by a banded bit-parallel automaton: one bit per diagonal of the band and number of errors, all in
+more than the edits allow. What is left is verified by a banded bit-parallel automaton: one bit per diagonal of the band and number of errors, all in
 one long, advanced by a character's match mask at a time.
 
+A line needs one earlier partner only. So in a bucket of more than ``crowd`` lines, such as a family of numbered lines, every line is first
+compared with ``hubs`` lines of the bucket, drawn by a hash; lines that have found an earlier partner then look for no more,
+and only the rest is joined with all earlier lines of the bucket. Up to then the pairs are a constant times the lines. A family of lines that share a
+segment and the counts of all classes, but are not within the limit of any earlier line, still costs a pair of lines for each two of them.
+
 Nulls and empties: a null text stays null with no lines; an empty text has one empty line and stays. Null ids sort first.
 Rows that repeat both id and text are one document and all get its result. An empty table
-gives no rows. Long texts and lines are compared whole. Other columns pass through.
+gives no rows. Long texts and lines are compared whole. Other columns pass through, whatever their names, unless these are
+the names that ``dedup_lines`` adds, which it replaces.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.llm._common import saved
+from lumenframe.llm._common import packed, saved, unpacked
 
 # Classes of characters whose counts bound an edit distance from below.
-CLASSES = ["e", "t", "a", "n", "i", "o", "h", "r", "s", "d", "l", " ", "uvw", "cmfpg", "0123456789", ".,;:!?"]
+CLASSES = ["e", "t", "a", "n", "i", "o", "h", "r", "s", "d", "l", " ", "uvw", "cmfpg", "02", "13", "46", "57", "89", ".,;:!?"]
 
 
 def _automaton(a: Column, b: Column, edits: int) -> Column:
@@ -142,71 +147,97 @@ def segment_keys(n: Column, edits: int) -> Column:
     return F.array(*own, *probes)
 
 
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, th, no, line, h1, n) of the lines that take part."""
-    each = docs.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    return each.withColumn("n", F.length("line")).where(F.col("n") >= min_chars).withColumn("h1", F.xxhash64("line"))
+def line_table(docs: DataFrame, *, max_edits: int, min_chars: int, min_equal: int) -> DataFrame:
+    """(doc_id, th, no, h1, h2, keys) of the lines that take part; keys is null for lines under ``min_chars``."""
+    each = docs.select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("no", "line")).withColumn("n", F.length("line")).where(F.col("n") >= min(min_equal, min_chars))
+    wide = each.select("doc_id", "th", "no", "n", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), *segment_windows(F.col("line"), F.col("n"), max_edits))
+    keys = F.when(F.col("n") >= min_chars, segment_keys(F.col("n"), max_edits)) if max_edits else F.lit(None).cast("array<bigint>")
+    return wide.select("doc_id", "th", "no", "h1", "h2", keys.alias("keys"))
+
+
+def _near(df: DataFrame, small: DataFrame, on: str, most: int = 200_000) -> DataFrame:
+    """Rows of df whose key is in ``small``, a saved table of distinct keys of 8 bytes; broadcast only where their counted number is bounded."""
+    return df.join(F.broadcast(small) if small.count() <= most else small, on, "left_semi")
+
+
+def _fits(x: str, y: str, edits: int) -> Column:
+    """What two different lines within the limit cannot fail: their lengths and class counts differ by the edits at most."""
+    more = sum((F.greatest(F.col(f"{x}.c{i}") - F.col(f"{y}.c{i}"), F.lit(0)) for i in range(len(CLASSES))), F.lit(0))
+    less = sum((F.greatest(F.col(f"{y}.c{i}") - F.col(f"{x}.c{i}"), F.lit(0)) for i in range(len(CLASSES))), F.lit(0))
+    return (F.col(f"{x}.h1") != F.col(f"{y}.h1")) & (F.abs(F.col(f"{x}.n") - F.col(f"{y}.n")) <= edits) & (more <= edits) & (less <= edits)
 
 
-def _near(df: DataFrame, small: DataFrame, on: str, rows: int, most: int = 1_000_000) -> DataFrame:
-    """Rows of df whose key is in ``small``, a table of distinct keys; broadcast only where its counted size is bounded."""
-    return df.join(F.broadcast(small) if rows <= most else small, on, "left_semi")
+def _later(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """(h1, first) of the lines that come later than one of their partners in ``pairs`` (a, b) and are within the limit of it."""
+    a, b = (texts.select(F.col("h1").alias(x), F.col("line").alias(f"l{x}"), F.col("first").alias(f"f{x}")) for x in "ab")
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = pairs.join(a, "a").join(b, "b").repartition(n, "a", "b")
+    near = within_edits(both, "la", "lb", edits).where("_lf_within")
+    late = F.when(F.col("fa") < F.col("fb"), F.struct(F.col("b").alias("h1"), F.col("fb").alias("first"))).otherwise(F.struct(F.col("a").alias("h1"), F.col("fa").alias("first")))
+    return near.select(late.alias("p")).select("p.*").distinct()
 
 
-def removed_lines(docs: DataFrame, *, max_edits: int = 2, min_chars: int = 24, min_equal: int | None = None) -> DataFrame:
+def _pairs(x: DataFrame, y: DataFrame, condition: Column) -> DataFrame:
+    """Distinct pairs (a, b) of lines that share a bucket and satisfy the condition."""
+    return x.alias("x").join(y.alias("y"), (F.col("x.key") == F.col("y.key")) & condition).select(F.least("x.h1", "y.h1").alias("a"), F.greatest("x.h1", "y.h1").alias("b")).distinct()
+
+
+def removed_lines(docs: DataFrame, *, max_edits: int = 2, min_chars: int = 24, min_equal: int | None = None, crowd: int = 128, hubs: int = 48) -> DataFrame:
     """(doc_id, th, no) of the lines that go; ``docs`` has doc_id, text and th."""
-    spark = docs.sparkSession
-    lines = _lines(docs, min_chars)
+    table = saved(line_table(docs, max_edits=max_edits, min_chars=min_chars, min_equal=min_chars if min_equal is None else min_equal), "lines")
     place = F.struct("doc_id", "th", "no")
-    narrow = _lines(docs, min_chars if min_equal is None else min(min_equal, min_chars)).select("h1", F.xxhash64(F.lit(1), "line").alias("h2"), "doc_id", "th", "no")
-    firsts = narrow.groupBy("h1", "h2").agg(F.min(place).alias("first"))
-    exact = narrow.join(firsts, ["h1", "h2"]).where(place != F.col("first")).select("doc_id", "th", "no")
+    firsts = table.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    exact = table.select("doc_id", "th", "no", "h1", "h2").join(firsts.where("n > 1").drop("n"), ["h1", "h2"]).where(place != F.col("first")).select("doc_id", "th", "no")
     if not max_edits:
         return exact.distinct()
-    cut = lines.select("h1", "n", *segment_windows(F.col("line"), F.col("n"), max_edits)).select("h1", segment_keys(F.col("n"), max_edits).alias("keys"))
-    # the array is a column of its own first: exploding the expression would evaluate it anew for every element
-    keyed = cut.select("h1", F.posexplode_outer("keys").alias("at", "key")).where("key IS NOT NULL")
-    keyed = keyed.select("h1", "key", (F.col("at") <= max_edits).alias("own"))
+    keyed = table.where("keys IS NOT NULL").select("h1", F.posexplode("keys").alias("at", "key")).where("key IS NOT NULL").select("h1", "key", (F.col("at") <= max_edits).alias("own"))
     shared = keyed.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.max("own").alias("own")).where("lo != hi AND own").select("key")
-    shared = saved(shared, "shared-keys")
-    in_buckets = saved(_near(keyed, shared, "key", shared.count()).distinct(), "buckets")
-    some = saved(in_buckets.select("h1").distinct(), "bucket-lines")
-    counts = [(F.col("n") - F.length(F.translate("line", c, ""))).alias(f"c{i}") for i, c in enumerate(CLASSES)]
-    features = _near(lines.select("h1", "n", "line"), some, "h1", some.count()).select("h1", "n", *counts).distinct()
-    members = saved(in_buckets.join(features, "h1"), "members")
-    x, y = members.where("own").alias("x"), members.alias("y")
-    more = sum((F.greatest(F.col(f"x.c{i}") - F.col(f"y.c{i}"), F.lit(0)) for i in range(len(CLASSES))), F.lit(0))
-    less = sum((F.greatest(F.col(f"y.c{i}") - F.col(f"x.c{i}"), F.lit(0)) for i in range(len(CLASSES))), F.lit(0))
-    fits = (F.col("x.h1") != F.col("y.h1")) & (F.abs(F.col("x.n") - F.col("y.n")) <= max_edits) & (more <= max_edits) & (less <= max_edits)
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & fits).select(F.least("x.h1", "y.h1").alias("a"), F.greatest("x.h1", "y.h1").alias("b")).distinct()
-    pairs = saved(pairs, "pairs")
-    wanted = saved(pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct(), "wanted")
-    texts = _near(lines.select("h1", "line"), wanted, "h1", wanted.count()).groupBy("h1", F.xxhash64(F.lit(1), "line").alias("h2")).agg(F.first("line").alias("line"))
+    buckets = saved(_near(keyed, saved(shared, "shared-keys"), "key").groupBy("key", "h1").agg(F.max("own").alias("own")), "buckets")
+    some = saved(buckets.select("h1").distinct(), "bucket-lines")
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).where(F.length("line") >= min_chars).withColumn("h1", F.xxhash64("line"))
+    texts = _near(lines, some, "h1").groupBy("h1", F.xxhash64(F.lit(1), "line").alias("h2")).agg(F.first("line").alias("line"))
     texts = saved(texts.join(firsts, ["h1", "h2"]).select("h1", "line", "first"), "line-texts")
-    a, b = texts.select(F.col("h1").alias("a"), F.col("line").alias("la"), F.col("first").alias("fa")), texts.select(F.col("h1").alias("b"), F.col("line").alias("lb"), F.col("first").alias("fb"))
-    both = pairs.join(a, "a").join(b, "b").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a", "b")
-    close = within_edits(both, "la", "lb", max_edits).where("_lf_within")
-    later = close.select(F.greatest("fa", "fb").alias("p")).distinct().select("p.doc_id", "p.th", "p.no")
-    return exact.unionByName(later).distinct()
-
-
-def dedup_lines(docs: DataFrame, *, max_edits: int = 2, min_chars: int = 24, min_equal: int | None = None) -> DataFrame:
+    counts = [(F.length("line") - F.length(F.translate("line", c, ""))).alias(f"c{i}") for i, c in enumerate(CLASSES)]
+    features = texts.select("h1", "first", F.length("line").alias("n"), *counts)
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("size"))
+    members = saved(buckets.join(features, "h1").join(sizes, "key"), "members")
+    few, many = members.where(F.col("size") <= crowd), members.where(F.col("size") > crowd)
+    role = F.col("x.own") | F.col("y.own")
+    pairs = saved(_pairs(few.where("own"), few, _fits("x", "y", max_edits)), "pairs")
+    late = saved(_later(pairs, texts, max_edits), "late")
+    if not many.isEmpty():
+        nth = F.row_number().over(Window.partitionBy("key").orderBy("order"))
+        chosen = saved(many.withColumn("order", F.xxhash64("h1", F.lit("hub"))).withColumn("nth", nth).where(F.col("nth") <= hubs).drop("order", "nth"), "hubs")
+        open_ = many.join(late.select("h1").distinct(), "h1", "left_anti")
+        found = _later(saved(_pairs(open_, chosen, role & _fits("x", "y", max_edits)), "hub-pairs"), texts, max_edits)
+        late = saved(late.unionByName(found).distinct(), "late")
+        open_ = many.join(late.select("h1").distinct(), "h1", "left_anti")
+        rest = saved(_pairs(open_, many, role & (F.col("y.first") < F.col("x.first")) & _fits("x", "y", max_edits)), "pairs-left")
+        late = saved(late.unionByName(_later(rest, texts, max_edits)).distinct(), "late")
+    return exact.unionByName(late.select("first.doc_id", "first.th", "first.no")).distinct()
+
+
+ADDED = ["_lf_n_lines", "_lf_n_removed"]
+
+
+def dedup_lines(docs: DataFrame, *, max_edits: int = 2, min_chars: int = 24, min_equal: int | None = None, **kw) -> DataFrame:
     """``docs`` with the lines cut from ``text``, and _lf_n_lines and _lf_n_removed added."""
+    columns = [c for c in docs.columns if c not in ADDED]
     th = F.xxhash64("text")
-    work = docs.select(F.col("doc_id"), "text", th.alias("th")).where(F.col("text").isNotNull())
-    gone = removed_lines(work, max_edits=max_edits, min_chars=min_chars, min_equal=min_equal).groupBy("doc_id", "th").agg(F.collect_set("no").alias("_lf_gone"))
+    work = docs.select("doc_id", "text", th.alias("th")).where(F.col("text").isNotNull())
+    gone = removed_lines(work, max_edits=max_edits, min_chars=min_chars, min_equal=min_equal, **kw).groupBy("doc_id", "th").agg(F.collect_set("no").alias("_lf_gone"))
     gone = gone.select(F.col("doc_id").alias("_lf_id"), F.col("th").alias("_lf_of"), "_lf_gone")
-    keyed = docs.withColumn("_lf_th", th)
+    keyed = packed(docs.select(*(F.col(f"`{c}`") for c in columns)), "doc_id", "text").withColumn("_lf_th", th)
     out = keyed.join(gone, (F.col("_lf_th") == F.col("_lf_of")) & F.col("doc_id").eqNullSafe(F.col("_lf_id")), "left")
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda _, i: ~F.array_contains(F.col("_lf_gone"), i))
     cut = F.when(F.col("_lf_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return (
-        out.withColumn("_lf_n_lines", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"))
-        .withColumn("_lf_n_removed", F.coalesce(F.size("_lf_gone"), F.lit(0)).cast("long"))
+    done = (
+        out.withColumn(ADDED[0], F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"))
+        .withColumn(ADDED[1], F.when(F.col("_lf_gone").isNull(), F.lit(0)).otherwise(F.size("_lf_gone")).cast("long"))
         .withColumn("text", cut)
-        .drop("_lf_th", "_lf_id", "_lf_of", "_lf_gone")
     )
+    return unpacked(done, [*columns, *ADDED], "doc_id", "text", *ADDED)
 
 
 def lines_query(docs: DataFrame) -> DataFrame:
