@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.cluster import scratch
 from lumenframe.functions import text as X
-from lumenframe.operators import lookup, ocr, pipelines, requests, score, yolo
+from lumenframe.operators import lookup, ocr, pipelines, requests, score, suppress, yolo
 from lumenframe.plans import fixtures as D
 from lumenframe.plans.queries import ANCHORS, BEST, DET, NMS_ORDER, NMS_OVER, PIXELS, QUERIES, SQL, V11_BOXES, greedy, query, scale_sql
 from lumenframe.schema import FRAMEWORKS, PROVIDERS, SUPPORTED, VIDEO_THRESHOLD, YOLO_RESPONSE
@@ -324,15 +324,10 @@ def stream_fps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {greedy(scale_sql(V11_BOXES.replace('0.125', str(VIDEO_THRESHOLD))), NMS_ORDER, NMS_OVER)} SELECT frame_id, det_no, class_id, x, y, w, h, confidence FROM kept")
 def stream_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames as a stream whose batches are decoded and suppressed; a frame comes in one file, so in one batch."""
-    path = scratch(spark, "detections")
-
-    def put(batch: DataFrame, number: int) -> None:
-        yolo.decode(D.as_anchors(batch), "kV11", VIDEO_THRESHOLD).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
-
-    query = _stream(spark, sf_dir, "embeddings").writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/state").start()
-    stream.run_to_end(query)
-    return spark.read.parquet(f"{path}/rows").drop("batch")
+    """Anchors as a stream whose batches are decoded. A frame's boxes may come in several files and so in several batches, and one that comes late may
+    suppress one that came before: frames are suppressed when they are whole, at the end of the stream."""
+    boxes = yolo.decode_v11(D.as_anchors(_stream(spark, sf_dir, "embeddings")), VIDEO_THRESHOLD, suppress=False)
+    return suppress.nms(_appended(spark, boxes, "detections"), carry=yolo.BOX)
 
 
 @query("SELECT event_id, least(value / CAST(20.0 AS DOUBLE), CAST(1.0 AS DOUBLE)) AS confidence FROM events WHERE least(value / CAST(20.0 AS DOUBLE), CAST(1.0 AS DOUBLE)) > 0.5")

@@ -87,3 +87,22 @@ def test_state_of_silent_keys_can_go(spark, tmp_path):
         assert left == 0
     finally:
         q.stop()
+
+
+def test_frames_may_come_in_several_files(spark, tmp_path):
+    """A frame's boxes in two batches, the surer one in the second, are suppressed together, as in SQL."""
+    import duckdb
+    import numpy as np
+
+    from lumenframe.plans.flows import QUERIES, SQL
+
+    rnd = np.random.default_rng(5)
+    rows = [(i, [0.5, 0.5, 0.25 + 0.01 * (i % 3), 0.25] + (rnd.random(60) * (0.5 + 0.004 * i)).tolist(), 0) for i in range(120)]
+    schema = "vec_id long, embedding array<float>, label int"
+    for part in (range(0, 30), range(30, 70), range(70, 120)):  # files end within frames of 50
+        spark.createDataFrame([rows[i] for i in part], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "embeddings.parquet"))
+    got = QUERIES["stream_detections"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({SQL['stream_detections']})").fetchall()
+    assert len(want) == 3 and sorted(map(tuple, got.collect())) == sorted(want)
