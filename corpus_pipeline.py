@@ -3,11 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and reread as the next one's
 ``docs``. All but the last return the columns of documents. A stage works on all that the one before kept:
 
-- language_id drops documents without letters or wholly in scripts that no labelled row uses;
+- language_id drops documents without letters or wholly in scripts that no labelled row uses, and writes the language found into ``lang``;
 - line_dedup cuts lines that are equal to an earlier line or within two edits of one, and keeps every document;
 - near_dedup keeps one document, the one with the smallest id, of each group of near-duplicates;
 - substring_dedup cuts passages of 35 words that occur elsewhere, and keeps every document;
-- packing tokenizes what is left and packs it into sequences of 2048 ids.
+- packing tokenizes what is left and packs it into sequences of 2048 ids, each piece with its document's ``lang``.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packed_query(docs, vocabulary())
+    return packed_query(docs, vocabulary(), carry=("lang",))
 
 
 STAGES = [

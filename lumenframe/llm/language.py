@@ -13,6 +13,8 @@ labels; labels beyond are not learned) times buckets. Letters are the characters
 
 The stage drops documents without letters, and those wholly in scripts that no labelled row uses; these scripts
 are looked up in all labelled rows, not in the sample. Where nothing is labelled all documents with letters stay.
+It writes the language found into ``lang``, for unlabelled rows and over a label that was learned; a label that was not
+learned stays, and so does what a row has if none of its words is in a script of a learned language.
 
 Nulls and empties: a null text, or one without letters, is ``und`` with score 0 and no spans. A text whose
 letters are all of scripts that no learned language uses gets the first language with score 0. Null ids
@@ -364,8 +366,10 @@ def language_query(docs: DataFrame) -> DataFrame:
 
 
 def language_stage(docs: DataFrame) -> DataFrame:
-    """Documents with a language: those without letters, or wholly in scripts that no labelled row uses, go."""
+    """Documents with a language, which ``lang`` then holds: those without letters, or wholly in scripts that no labelled row uses, go."""
     model = fit(docs.where(~is_held_out()).select("doc_id", "text", "lang"))
     known = (F.col("_lf_lang") != "und") & (F.col("_lf_score") > 0)
-    rows = label_documents(packed(docs, "doc_id", "text"), model)
-    return unpacked(rows.where(known | in_scripts("text", labelled_scripts(docs))), docs.columns, "doc_id", "text")
+    rows = label_documents(packed(docs, "doc_id", "text", "lang"), model).where(known | in_scripts("text", labelled_scripts(docs)))
+    open_to = F.col("lang").isNull() | F.col("lang").isin(model.languages)  # labels that the model knows, or none
+    rows = rows.withColumn("lang", F.when(known & open_to, F.col("_lf_lang")).otherwise(F.col("lang")))
+    return unpacked(rows, docs.columns, "doc_id", "text", "lang")

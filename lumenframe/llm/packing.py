@@ -135,8 +135,8 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "rank", "times", "sequence", "offset"), cols, strict=True))
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, *, size: int = 2048, end_id: int = 0) -> DataFrame:
-    """Pieces of every document's ids: doc_id, piece, start, length, ids_crc32. Only longer documents are cut; the first piece is the short one."""
+def token_pieces(docs: DataFrame, vocabulary: str, *, size: int = 2048, end_id: int = 0, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Pieces of every document's ids: doc_id, piece, start, length, ids_crc32, and the columns ``carry`` of the document. Only longer documents are cut; the first piece is the short one."""
     spark = docs.sparkSession
     ship(spark)
     small_batches(spark)
@@ -156,13 +156,15 @@ def token_pieces(docs: DataFrame, vocabulary: str, *, size: int = 2048, end_id:
                 raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
                 at = offsets[row] + start
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
+                of = lambda c: batch.column(c).slice(x, y - x).take(pa.array(row))  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(x, y - x).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())],
-                    ["doc_id", "piece", "start", "length", "ids_crc32"],
+                    [of("doc_id"), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), *map(of, carry)],
+                    ["doc_id", "piece", "start", "length", "ids_crc32", *carry],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return rows.mapInArrow(lean(cut, keep=True), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *carry)
+    kinds = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)
+    return rows.mapInArrow(lean(cut, keep=True), f"doc_id long, piece int, start long, length long, ids_crc32 long{kinds}")
 
 
 def pack(parts: DataFrame, *, size: int = 2048, per_group: int = 2_000) -> DataFrame:
@@ -203,7 +205,7 @@ def pack(parts: DataFrame, *, size: int = 2048, per_group: int = 2_000) -> DataF
     return ranked.mapInArrow(place, f"{kinds}, sequence_id long, offset long")
 
 
-def packed_query(docs: DataFrame, vocabulary: str, *, size: int = 2048) -> DataFrame:
-    """Tokenize, cut and pack whole documents; one row per piece."""
-    parts = saved(token_pieces(docs, vocabulary, size=size), "pieces")
-    return pack(parts, size=size).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+def packed_query(docs: DataFrame, vocabulary: str, *, size: int = 2048, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Tokenize, cut and pack whole documents; one row per piece, with the columns ``carry`` of its document."""
+    parts = saved(token_pieces(docs, vocabulary, size=size, carry=carry), "pieces")
+    return pack(parts, size=size).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *carry)

@@ -245,6 +245,29 @@ def test_rare_languages_are_learned_and_kept(spark):
     assert {r.doc_id for r in language.language_stage(unlabelled).collect()} == {0, 1, 2, 3, 4, rare, held, 60_000, 60_001}
 
 
+def test_language_found_goes_on_to_the_packed_pieces(spark, tmp_path):
+    """The stage writes what it found into ``lang``, and the pipeline's pieces have it."""
+    import corpus_pipeline
+
+    rnd = random.Random(8)
+    make = {"en": ["the", "and", "ing", "with", "thor"], "fr": ["être", "le", "eau", "que", "aux"], "ru": ["это", "как", "для", "него", "мир"]}
+    say = lambda lang, n: " ".join("".join(rnd.choice(make[lang]) for _ in range(rnd.randint(1, 2))) for _ in range(n))
+    rows = [(i, say(lang, 40), lang) for i, lang in enumerate(list(make) * 20)]
+    held = next(i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 4 == 2)  # so its label is not learned
+    odd = [(100, say("fr", 40), None, "fr"), (101, say("ru", 40), "en", "ru"), (held, "ქართული ენა", "ka", "ka"), (103, say("ru", 3000), None, "ru")]
+    odd += [(104, say("en", 9) + " " + say("fr", 40), "en", "fr")]
+    df = spark.createDataFrame([(*r[:3], "s", len(r[1])) for r in rows + odd], "doc_id long, text string, lang string, source string, n_chars long")
+    want = {d: lang for d, _, lang in rows} | {r[0]: r[3] for r in odd}
+    staged = language.language_stage(df)
+    assert staged.columns == df.columns and {r.doc_id: r.lang for r in staged.collect()} == want
+    assert {r.doc_id: r.lang_pred for r in language.language_query(df).collect() if r.doc_id != held} == {d: x for d, x in want.items() if d != held}
+    df.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.lang) for r in got} == set(want.items()) and sum(r.doc_id == 103 for r in got) > 1
+    unlabelled = df.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.lang for r in language.language_stage(unlabelled).collect()} == {None}
+
+
 def test_fair_share():
     assert language.fair_share([10, 10, 10], 30, 1) == 10 and language.fair_share([1, 100, 1000], 301, 1) == 200
     assert language.fair_share([5, 1000, 1000], 100, 60) == 60
